@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """Column by name; names may contain dots (quoted), Columns pass through."""
+    if isinstance(c, str):
+        return F.col(c if c.startswith("`") else f"`{c}`")
+    return c
 
 
 def nan_to_null(c) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrisk.functions.columns import falsey, flag, safe_div
+from flowrisk.functions.columns import col, falsey, flag, safe_div
 from flowrisk.operators.halo import BUCKET, CORE
 
 RN = "rn"
@@ -41,6 +41,7 @@ TRAIL = {"trail_max", "trail_min", "trail_sum", "trail_mean", "trail_std", "trai
 FWD = {"fwd_sum", "fwd_max", "fwd_min", "fwd_var", "fwd_mean"}
 PANDAS = {"median_ratio", "pct_current", "quantile", "gt_quantile", "median"}
 CARRY = {"hours_since", "hours_since_nonzero", "cumsum"}
+SHORT_ROWS = 64  # sum-family windows up to this length use a plain sliding frame
 
 
 def rows(hours: float, freq_minutes: float) -> int:
@@ -59,7 +60,7 @@ class Feat:
     thr: float | None = None
     q: float | None = None
     col2: str | None = None
-    expr: Column | None = field(default=None, compare=False, hash=False)
+    expr: object = field(default=None, compare=False, hash=False)  # Column or () -> Column
 
     @property
     def lookback(self) -> int:
@@ -101,7 +102,7 @@ def _pandas_stage(df: DataFrame, part: list[str], feats: list[Feat]) -> DataFram
         if f.op in ("median_ratio", "median"):
             jobs.append((f"_med_{f.col}_{f.n}", "median", f.col, f.n, None))
         elif f.op in ("quantile", "gt_quantile"):
-            jobs.append((f"_q_{f.col}_{f.n}_{f.q}", "quantile", f.col, f.n, f.q))
+            jobs.append((pandas_names(f), "quantile", f.col, f.n, f.q))
         elif f.op == "pct_current":
             jobs.append((f"_pct_{f.col}_{f.n}", "pct", f.col, f.n, None))
     jobs = list(dict.fromkeys(jobs))
@@ -126,7 +127,7 @@ def pandas_names(f: Feat) -> str:
     if f.op in ("median_ratio", "median"):
         return f"_med_{f.col}_{f.n}"
     if f.op in ("quantile", "gt_quantile"):
-        return f"_q_{f.col}_{f.n}_{f.q}"
+        return f"_q_{f.col}_{f.n}_" + str(f.q).replace(".", "p")
     return f"_pct_{f.col}_{f.n}"
 
 
@@ -159,7 +160,7 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
         if f.op in TRAIL or f.op in FWD or f.op == "next_max":
             cnt_cols.add(f.col)
             base = f.op.split("_", 1)[1] if f.op != "range" else "range"
-            if base in ("sum", "mean", "std", "var"):
+            if base in ("sum", "mean", "std", "var") and f.n > SHORT_ROWS:
                 sum_cols.add(f.col)
             if base in ("max", "range"):
                 max_lv[f.col] = max(max_lv.get(f.col, 1), _pow2_floor(f.n))
@@ -180,7 +181,9 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
     run_exprs = []
     for c in sum_cols:
         v = F.col(c).cast("double") - F.col(ref[c])
-        run_exprs += [F.sum(v).over(run).alias(f"_S_{c}"), F.sum(v * v).over(run).alias(f"_Q_{c}")]
+        # a running sum is NULL before the first value: prefix sums start from 0
+        run_exprs += [F.coalesce(F.sum(v).over(run), F.lit(0.0)).alias(f"_S_{c}"),
+                      F.coalesce(F.sum(v * v).over(run), F.lit(0.0)).alias(f"_Q_{c}")]
     for c in cnt_cols:
         run_exprs.append(F.count(F.col(c)).over(run).alias(f"_C_{c}"))
     for m in mask_specs.values():
@@ -225,6 +228,12 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
 
     def trailing(base, c, n):
         ok = full(c, n)
+        if base in ("sum", "mean", "var", "std") and n <= SHORT_ROWS:
+            # short windows: Spark's sliding frame (O(n) per row, central moments)
+            fr = w.rowsBetween(-(n - 1), 0)
+            agg = {"sum": F.sum, "mean": F.avg, "var": F.var_samp, "std": F.stddev_samp}[base]
+            return F.when(F.count(F.col(c)).over(fr) == F.lit(n),
+                          agg(F.col(c).cast("double")).over(fr))
         if base == "sum":
             v = wsum(c, n) + F.lit(n) * F.col(ref[c])
         elif base == "mean":
@@ -299,7 +308,8 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
         elif f.op == "flag_gt":
             post.append(flag(c > F.lit(f.thr)).alias(f.name))
         elif f.op == "expr":
-            post.append(f.expr.alias(f.name))
+            e = f.expr() if callable(f.expr) else f.expr
+            post.append(e.alias(f.name))
     if post:
         df = df.select("*", *post)
 
@@ -309,7 +319,8 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
 
     out_cols = [c for c in base_cols if c not in (BUCKET, CORE)] if keep is None else list(keep)
     feat_names = list(dict.fromkeys(f.name for f in feats))
-    return df.where(F.col(CORE)).select(*out_cols, *[n for n in feat_names if n not in out_cols])
+    return df.where(F.col(CORE)).select(*[col(n) for n in out_cols],
+                                        *[col(n) for n in feat_names if n not in out_cols])
 
 
 def _mask_of(f: Feat) -> Column:

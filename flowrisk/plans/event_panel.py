@@ -23,7 +23,8 @@ TIME = "time"
 def hourly_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return (ev.groupBy(KEY, F.date_trunc("hour", "ts").alias(TIME))
-            .agg(F.sum("value").alias("load"), F.count(F.lit(1)).alias("n_events")))
+            .agg((F.sum(F.round(F.col("value") * 100)) / F.lit(100.0)).alias("load"),
+                 F.count(F.lit(1)).alias("n_events")))
 
 
 def capacity(load: DataFrame) -> DataFrame:
@@ -32,10 +33,11 @@ def capacity(load: DataFrame) -> DataFrame:
 
 
 def fill_panel(spark: SparkSession, sf_dir: str, feats: list[Feat],
-               bucket_rows: int = 1 << 16) -> DataFrame:
+               bucket_rows: int = 1 << 16, fit: bool = True) -> DataFrame:
     load = hourly_load(spark, sf_dir)
     lb, la = halo_of(feats)
-    halo = HaloSpec(bucket_rows, lb, la).fitted()
+    halo = HaloSpec(bucket_rows, lb, la)
+    halo = halo.fitted() if fit else halo
     g = regular_grid(load.select(KEY, TIME, "load"), KEY, TIME, 3600, halo)
     g = g.join(capacity(load), KEY).withColumn(
         "fill_ratio", safe_div(F.col("load"), F.col("capacity")))
@@ -62,7 +64,7 @@ def exceedance_rate(spark: SparkSession, sf_dir: str, threshold: float = 0.5,
 
 EXCEEDANCE_RATE_SQL = """
 WITH hourly AS (
-  SELECT event_type, date_trunc('hour', ts) AS t, sum(value) AS load
+  SELECT event_type, date_trunc('hour', ts) AS t, sum(round(value * 100)) / 100.0 AS load
   FROM events GROUP BY 1, 2),
 cap AS (SELECT event_type, max(load) AS capacity, min(t) AS t0, max(t) AS t1
         FROM hourly GROUP BY 1),

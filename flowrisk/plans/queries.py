@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowrisk.plans import event_features as ef
 from flowrisk.plans import event_panel as ep
 from flowrisk.plans.catalog import register
 
@@ -11,3 +12,15 @@ from flowrisk.plans.catalog import register
 @register("exceedance_rate", ep.EXCEEDANCE_RATE_SQL)
 def exceedance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.exceedance_rate(spark, sf_dir)
+
+
+@register("feature_catalogue_counts", ef.feature_summary_sql())
+def feature_catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 78 features + target on the 10-minute event panel: non-null counts per type."""
+    return ef.feature_summary(spark, sf_dir)
+
+
+@register("feature_catalogue")
+def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grid row with all features (values checked with a tolerance in tests)."""
+    return ef.feature_table(spark, sf_dir)
