@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowrisk.plans import event_features as ef
 from flowrisk.plans import event_panel as ep
+from flowrisk.plans import scoring as sc
 from flowrisk.plans.catalog import register
 
 
@@ -24,3 +25,15 @@ def feature_catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every grid row with all features (values checked with a tolerance in tests)."""
     return ef.feature_table(spark, sf_dir)
+
+
+@register("classification_metrics_labels", sc.LABEL_METRICS_SQL)
+def classification_metrics_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6-A12 on document quality labels scored by length, per language."""
+    return sc.metrics_of(sc.scored_labels(spark, sf_dir))
+
+
+@register("classification_metrics_events", sc.EVENT_METRICS_SQL)
+def classification_metrics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6-A12 on 'error' events scored by value, per day."""
+    return sc.metrics_of(sc.scored_events(spark, sf_dir))
