@@ -101,36 +101,49 @@ def rank_metrics(df: DataFrame, group, y: str, score: str, score_bins: int = 102
     tp = F.col("_np") - F.col("_lt_pos")
     fp = F.col("_nn") - F.col("_lt_neg")
     auc_part = F.col("_pos") * (F.col("_lt_neg") + F.lit(0.5) * F.col("_neg"))
-    ap_part = F.col("_pos") / F.col("_np") * tp / (tp + fp)
+    ap_part = F.col("_pos") * tp / (tp + fp)   # divided by the positives once, below
     out = rc.groupBy(*g, "_np", "_nn").agg(F.sum(auc_part).alias("_auc"),
                                             F.sum(F.when(F.col("_pos") > 0, ap_part)).alias("_ap"))
     return out.select(
         *g,
         F.when((F.col("_np") > 0) & (F.col("_nn") > 0),
                F.col("_auc") / (F.col("_np") * F.col("_nn"))).alias("ROC_AUC"),
-        F.when(F.col("_np") > 0, F.coalesce(F.col("_ap"), F.lit(0.0))).otherwise(F.lit(0.0))
-        .alias("PR_AUC"))
+        F.when(F.col("_np") > 0, F.coalesce(F.col("_ap"), F.lit(0.0)) / F.col("_np"))
+        .otherwise(F.lit(0.0)).alias("PR_AUC"))
 
 
-def binary_metrics(df: DataFrame, group, y: str = "y", p: str = "p", pred: str = "pred",
-                   score_bins: int = 1024) -> DataFrame:
-    """All nine exceedance metrics plus confusion counts per group."""
+def prob_metrics(df: DataFrame, group, y: str = "y", p: str = "p",
+                 score_bins: int = 1024) -> DataFrame:
+    """Probability metrics per group: MAE, MSE, Brier (A6, A7), ROC AUC, AP."""
+    g = _g(group)
+    e = F.col(p).cast("double") - F.col(y)
+    base = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("MAE"),
+                              F.avg(e * e).alias("MSE"), F.avg(e * e).alias("Brier"))
+    return base.join(rank_metrics(df.select(*g, y, p), g, y, p, score_bins), g, "left")
+
+
+def decision_metrics(df: DataFrame, group, y: str = "y", pred: str = "pred") -> DataFrame:
+    """Decision metrics per group: confusion counts with labels [0, 1] (A8), precision,
+    recall, F1 with zero_division=0 (A9), specificity NULL without negatives (A10)."""
     g = _g(group)
-    yy, pp, dd = F.col(y), F.col(p).cast("double"), F.col(pred)
-    e = pp - yy
+    yy, dd = F.col(y), F.col(pred)
     base = df.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(e)).alias("MAE"), F.avg(e * e).alias("MSE"), F.avg(e * e).alias("Brier"),
         F.count_if((yy == 1) & (dd == 1)).alias("tp"), F.count_if((yy == 0) & (dd == 1)).alias("fp"),
         F.count_if((yy == 1) & (dd == 0)).alias("fn"), F.count_if((yy == 0) & (dd == 0)).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    base = base.select(
+    return base.select(
         "*",
         F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("Precision"),
         F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("Recall"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("F1"),
         F.try_divide(tn, tn + fp).alias("Specificity"))
-    return base.join(rank_metrics(df.select(*g, y, p), g, y, p, score_bins), g, "left")
+
+
+def binary_metrics(df: DataFrame, group, y: str = "y", p: str = "p", pred: str = "pred",
+                   score_bins: int = 1024) -> DataFrame:
+    """All nine exceedance metrics plus confusion counts per group."""
+    g = _g(group)
+    return prob_metrics(df, g, y, p, score_bins).join(decision_metrics(df, g, y, pred), g)
 
 
 def metric_long(wide: DataFrame, group, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -139,9 +152,21 @@ def metric_long(wide: DataFrame, group, metrics: Sequence[str] = METRICS) -> Dat
     return wide.select(*g, *metrics).unpivot(g, list(metrics), "metric", "value")
 
 
-def metric_table(scored: DataFrame, group, model_col: str = "model") -> DataFrame:
-    """Exceedance metrics per (group, model) from a long scored table
-    (columns group..., model, y, p, pred), returned long with a section column."""
-    g = _g(group) + [model_col]
-    wide = binary_metrics(scored, g)
-    return metric_long(wide, g).withColumn("section", F.lit("exceedance_metrics"))
+def metric_table(scored: DataFrame, group, model_col: str = "model",
+                 shares_prob: dict[str, str] | None = None) -> DataFrame:
+    """Exceedance metrics per (group, model), long with a ``section`` column.
+
+    ``scored`` has columns group..., model, y, p, pred.  Models listed in
+    ``shares_prob`` (model -> source model) reuse the probability metrics of their
+    source (the conformal variant only changes the decision rule), so shared values
+    are identical and computed once.
+    """
+    shares_prob = {"ConformalEnsemble": "EnsembleClassifier"} if shares_prob is None else shares_prob
+    g = _g(group)
+    own = scored.where(~F.col(model_col).isin(*shares_prob)) if shares_prob else scored
+    pm = prob_metrics(own, g + [model_col]).drop("n")
+    for tgt, src in shares_prob.items():
+        pm = pm.unionByName(pm.where(F.col(model_col) == src).withColumn(model_col, F.lit(tgt)))
+    dm = decision_metrics(scored, g + [model_col])
+    wide = pm.join(dm, g + [model_col])
+    return metric_long(wide, g + [model_col]).withColumn("section", F.lit("exceedance_metrics"))

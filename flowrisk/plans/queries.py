@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowrisk.plans import event_features as ef
 from flowrisk.plans import event_panel as ep
+from flowrisk.plans import evaluation as evq
 from flowrisk.plans import scoring as sc
 from flowrisk.plans.catalog import register
 
@@ -37,3 +38,39 @@ def classification_metrics_labels(spark: SparkSession, sf_dir: str) -> DataFrame
 def classification_metrics_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6-A12 on 'error' events scored by value, per day."""
     return sc.metrics_of(sc.scored_events(spark, sf_dir))
+
+
+@register("evaluation_comparison", evq.COMPARISON_SQL)
+def evaluation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate metrics vs the persistence baseline."""
+    return evq.comparison(spark, sf_dir)
+
+
+@register("evaluation_summary", evq.SUMMARY_SQL)
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean / std / count of % improvement by horizon, model, metric."""
+    return evq.summary(spark, sf_dir)
+
+
+@register("evaluation_beat_rate", evq.BEAT_RATE_SQL)
+def evaluation_beat_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beat rate by horizon and model."""
+    return evq.beat_rates(spark, sf_dir)
+
+
+@register("evaluation_beat_rate_by_metric", evq.BEAT_RATE_BY_METRIC_SQL)
+def evaluation_beat_rate_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beat rate by horizon, model and metric."""
+    return evq.beat_rates(spark, sf_dir, by_metric=True)
+
+
+@register("evaluation_best_model", evq.BEST_MODEL_SQL)
+def evaluation_best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model with the lowest average rank per station and horizon."""
+    return evq.best(spark, sf_dir)
+
+
+@register("evaluation_best_model_table", evq.BEST_TABLE_SQL)
+def evaluation_best_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station x horizon pivot of the best model."""
+    return evq.best_table(spark, sf_dir)
