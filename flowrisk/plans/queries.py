@@ -8,6 +8,7 @@ from flowrisk.plans import event_features as ef
 from flowrisk.plans import event_panel as ep
 from flowrisk.plans import evaluation as evq
 from flowrisk.plans import scoring as sc
+from flowrisk.plans import selection as slq
 from flowrisk.plans.catalog import register
 
 
@@ -74,3 +75,33 @@ def evaluation_best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_best_model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station x horizon pivot of the best model."""
     return evq.best_table(spark, sf_dir)
+
+
+@register("temporal_holdout", slq.HOLDOUT_SQL)
+def temporal_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributed row ordinals and the last-20 % hold-out per entity."""
+    return slq.holdout_split(spark, sf_dir)
+
+
+@register("temporal_folds", slq.FOLDS_SQL)
+def temporal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: forward-chaining fold roles on the training rows."""
+    return slq.folds(spark, sf_dir)
+
+
+@register("conformal_calibration", slq.CONFORMAL_SQL)
+def conformal_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conformal quantile and threshold per station and horizon."""
+    return slq.conformal(spark, sf_dir)
+
+
+@register("feature_correlation", slq.CORRELATION_SQL)
+def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute Pearson correlation of every lineitem feature pair."""
+    return slq.correlation(spark, sf_dir)
+
+
+@register("feature_selection", slq.SELECTED_SQL)
+def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance filter, correlation groups, ranked representatives."""
+    return slq.selected_features(spark, sf_dir)
