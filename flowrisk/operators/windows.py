@@ -173,8 +173,9 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
     # centring reference per (key, bucket)
     ref = {c: f"_ref_{c}" for c in sum_cols}
     if ref:
-        df = df.select("*", *[F.avg(F.col(c).cast("double")).over(whole).alias(ref[c])
-                              for c in sum_cols])
+        # rounded mean: centred integer data stays integer, so its prefix sums are exact
+        df = df.select("*", *[F.coalesce(F.round(F.avg(F.col(c).cast("double")).over(whole)),
+                                         F.lit(0.0)).alias(ref[c]) for c in sum_cols])
     for (c, thr), m in mask_specs.items():
         df = df.withColumn(m, flag(F.col(c) > F.lit(thr)))
     # running sums / counts (one Window operator)

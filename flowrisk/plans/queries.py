@@ -9,6 +9,7 @@ from flowrisk.plans import event_panel as ep
 from flowrisk.plans import evaluation as evq
 from flowrisk.plans import scoring as sc
 from flowrisk.plans import selection as slq
+from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans.catalog import register
 
 
@@ -105,3 +106,9 @@ def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance filter, correlation groups, ranked representatives."""
     return slq.selected_features(spark, sf_dir)
+
+
+@register("long_window_panel", spq.LONG_WINDOW_SQL)
+def long_window_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1-W3, W7, W11, W13, W16 with windows up to 365 rows per supplier."""
+    return spq.long_window_table(spark, sf_dir)
