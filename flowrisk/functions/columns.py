@@ -48,3 +48,16 @@ def canonical_id(c) -> Column:
 
 def rnd(c, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits)
+
+
+def complete(cols) -> Column:
+    """P6 predicate: every column non-null.
+
+    Written as one null-count expression instead of a conjunction of ``IS NOT NULL``
+    terms: over wide window-derived projections the per-column constraints make
+    Catalyst's constraint propagation grow without bound.
+    """
+    n = F.lit(0)
+    for c in cols:
+        n = n + col(c).isNull().cast("int")
+    return n == F.lit(0)

@@ -10,6 +10,7 @@ from flowrisk.plans import evaluation as evq
 from flowrisk.plans import scoring as sc
 from flowrisk.plans import selection as slq
 from flowrisk.plans import supplier_panel as spq
+from flowrisk.plans import training as trq
 from flowrisk.plans.catalog import register
 
 
@@ -112,3 +113,10 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_window_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1-W3, W7, W11, W13, W16 with windows up to 365 rows per supplier."""
     return spq.long_window_table(spark, sf_dir)
+
+
+@register("exceedance_model_metrics")
+def exceedance_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold-trained classifiers, conformal calibration and the 3-model metric table
+    (model fits are stochastic in general: rows-only check)."""
+    return trq.training_metrics(spark, sf_dir)
