@@ -11,6 +11,7 @@ from flowrisk.plans import scoring as sc
 from flowrisk.plans import selection as slq
 from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans import training as trq
+from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
 
@@ -120,3 +121,9 @@ def exceedance_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold-trained classifiers, conformal calibration and the 3-model metric table
     (model fits are stochastic in general: rows-only check)."""
     return trq.training_metrics(spark, sf_dir)
+
+
+@register("report_roundtrip", rpq.ROUNDTRIP_SQL)
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports rendered from events, parsed back into records."""
+    return rpq.roundtrip(spark, sf_dir)
