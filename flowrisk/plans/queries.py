@@ -11,6 +11,7 @@ from flowrisk.plans import scoring as sc
 from flowrisk.plans import selection as slq
 from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans import training as trq
+from flowrisk.plans import monitors as moq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
@@ -127,3 +128,21 @@ def exceedance_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports rendered from events, parsed back into records."""
     return rpq.roundtrip(spark, sf_dir)
+
+
+@register("flow_id_resolution", moq.FLOW_ID_SQL)
+def flow_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 + J4: alias map (id, alt id, site code; first source wins) and flow-id cleaning."""
+    return moq.flow_id_resolution(spark, sf_dir)
+
+
+@register("gauge_id_resolution", moq.GAUGE_ID_SQL)
+def gauge_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 + J5: rain-gauge alias map and gauge-id cleaning rules."""
+    return moq.gauge_id_resolution(spark, sf_dir)
+
+
+@register("active_monitor_records", moq.ACTIVE_SQL)
+def active_monitor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + P1 + P2 + P3: records of active flow monitors matched by id or alt id."""
+    return moq.active_monitor_records(spark, sf_dir)
