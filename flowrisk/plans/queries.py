@@ -12,6 +12,7 @@ from flowrisk.plans import selection as slq
 from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans import training as trq
 from flowrisk.plans import monitors as moq
+from flowrisk.plans import readings_sync as rsq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
@@ -146,3 +147,21 @@ def gauge_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_monitor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + P1 + P2 + P3: records of active flow monitors matched by id or alt id."""
     return moq.active_monitor_records(spark, sf_dir)
+
+
+@register("preferred_measures", rsq.PREFERRED_SQL)
+def preferred_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15-minute measures per station, else hourly, else none."""
+    return rsq.preferred(spark, sf_dir)
+
+
+@register("candidate_choice", rsq.CANDIDATE_SQL)
+def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First candidate station with data per target."""
+    return rsq.candidate_choice(spark, sf_dir)
+
+
+@register("incremental_upsert", rsq.UPSERT_SQL)
+def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append readings newer than the stored maximum, keep the last arrival."""
+    return rsq.upsert(spark, sf_dir)
