@@ -61,3 +61,11 @@ def complete(cols) -> Column:
     for c in cols:
         n = n + col(c).isNull().cast("int")
     return n == F.lit(0)
+
+
+def attach_scalars(df, one_row):
+    """Attach the columns of a one-row frame to every row (broadcast equi-join on a
+    constant key; the right side is a single aggregate row, so its size is fixed)."""
+    k = "__scalar_key"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k) \
+             .drop(k)

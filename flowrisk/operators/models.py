@@ -25,7 +25,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.functions.columns import col
+from flowrisk.functions.columns import attach_scalars, col
 from flowrisk.operators.metrics import positive_weight
 
 
@@ -131,8 +131,8 @@ def permutation_importance(model, data: DataFrame, features: Sequence[str], labe
     scored = model.transform(assemble(rows, feats)).select("feature", label, "prediction")
     s = r2(scored, ["feature"], label, "prediction")
     ref = s.where(F.col("feature") == "__none__").select(F.col("r2").alias("_ref"))
-    return s.where(F.col("feature") != "__none__").crossJoin(F.broadcast(ref)) \
-            .select("feature", (F.col("_ref") - F.col("r2")).alias("importance"))
+    return attach_scalars(s.where(F.col("feature") != "__none__"), ref) \
+        .select("feature", (F.col("_ref") - F.col("r2")).alias("importance"))
 
 
 __all__ = ["assemble", "fit_fold_models", "out_of_fold", "ensemble_predict", "fit_regressor",

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowrisk.functions.columns import col
+from flowrisk.functions.columns import attach_scalars, col
 from flowrisk.session import checkpoint_dir
 
 
@@ -41,7 +41,7 @@ def importance_filter(imp: DataFrame, frac: float = 0.05, feature: str = "featur
                       importance: str = "importance") -> DataFrame:
     """M5: features with importance strictly above ``frac`` times the largest one."""
     mx = imp.agg(F.max(importance).alias("_mx"))
-    return imp.crossJoin(F.broadcast(mx)).where(      # one-row frame
+    return attach_scalars(imp, mx).where(
         F.col(importance) > F.lit(frac) * F.col("_mx")).drop("_mx")
 
 

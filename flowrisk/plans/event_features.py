@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.functions.columns import col, rnd, safe_div
+from flowrisk.functions.columns import attach_scalars, col, rnd, safe_div
 from flowrisk.operators.features import Cols, calendar, catalogue, feature_names
 from flowrisk.operators.gapfill import fill_gaps
 from flowrisk.operators.grid import (core_rows, drop_duplicated_times, non_negative,
@@ -64,7 +64,7 @@ def forecast_series(spark: SparkSession, ev: DataFrame, bucket_rows: int) -> Dat
          .groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("time"))
          .agg((F.sum(F.round(F.col("value") * 100)) / F.lit(100.0)).alias(C.precip)))
     stats = f.agg(F.avg(C.precip).alias("_mu"), F.stddev_samp(C.precip).alias("_sd"))
-    z = f.crossJoin(F.broadcast(stats)).withColumn(      # one-row frame: size is bounded
+    z = attach_scalars(f, stats).withColumn(
         "_z", safe_div(F.col(C.precip) - F.col("_mu"), F.col("_sd"))).select(
         F.lit("all").alias("_series"), "time", C.precip, "_z")
     lay = regular_grid(z, "_series", "time", 3600, HaloSpec(bucket_rows).fitted())

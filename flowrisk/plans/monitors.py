@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrisk.functions.columns import attach_scalars
+
 from flowrisk.operators import ids
 from flowrisk.sources.tables import table
 
@@ -21,7 +23,7 @@ def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate")
     last = li.agg(F.max("l_shipdate").alias("_mx"))
-    recent = li.crossJoin(F.broadcast(last)).where(          # one-row frame
+    recent = attach_scalars(li, last).where(
         F.col("l_shipdate") > F.date_sub(F.col("_mx"), 365)).select("l_suppkey").distinct()
     gauge = F.col("s_acctbal") < 0
     mid = F.when(gauge, F.col("s_suppkey") + 2000).otherwise(F.col("s_suppkey")).cast("string")

@@ -13,6 +13,7 @@ from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans import training as trq
 from flowrisk.plans import monitors as moq
 from flowrisk.plans import readings_sync as rsq
+from flowrisk.plans import gridpoints as gpq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
@@ -165,3 +166,9 @@ def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append readings newer than the stored maximum, keep the last arrival."""
     return rsq.upsert(spark, sf_dir)
+
+
+@register("gridpoint_series", gpq.GRIDPOINT_SQL)
+def gridpoint_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-cell point series, z-score and cumulative sum."""
+    return gpq.gridpoint_summary(spark, sf_dir)
