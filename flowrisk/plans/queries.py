@@ -14,6 +14,7 @@ from flowrisk.plans import training as trq
 from flowrisk.plans import monitors as moq
 from flowrisk.plans import readings_sync as rsq
 from flowrisk.plans import gridpoints as gpq
+from flowrisk.plans import risk_table as rkq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
@@ -172,3 +173,10 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gridpoint_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-cell point series, z-score and cumulative sum."""
     return gpq.gridpoint_summary(spark, sf_dir)
+
+
+@register("risk_table", rkq.RISK_SQL)
+def risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out rows scored by the best model with conformal
+    confidence, categories, trend and the performance sentence."""
+    return rkq.risk(spark, sf_dir)

@@ -47,3 +47,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Cuts long lineages (and the plan size) where a result is reused several times;
+    the written table survives executor loss, unlike cached blocks.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
