@@ -15,6 +15,7 @@ from flowrisk.plans import monitors as moq
 from flowrisk.plans import readings_sync as rsq
 from flowrisk.plans import gridpoints as gpq
 from flowrisk.plans import risk_table as rkq
+from flowrisk.streaming import upsert as stq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans.catalog import register
 
@@ -180,3 +181,9 @@ def risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out rows scored by the best model with conformal
     confidence, categories, trend and the performance sentence."""
     return rkq.risk(spark, sf_dir)
+
+
+@register("streaming_upsert", stq.STREAM_SQL)
+def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermark-bounded dedup + foreachBatch merge, run with availableNow."""
+    return stq.stream_events(spark, sf_dir)
