@@ -138,3 +138,17 @@ def join_exogenous(panel: DataFrame, exo: DataFrame, time: str,
     """
     on = list(keys) + [time]
     return panel.join(exo, on, "left")
+
+
+def latest_rows(df: DataFrame, keys, time: str) -> DataFrame:
+    """The latest row of every group (grouped ``max_by``, partial
+    aggregation; no window over a whole group)."""
+    keys = _keys(keys)
+    others = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(time)).alias("_r"))
+    return g.select(*keys, *[F.col("_r." + c).alias(c) for c in others])
+
+
+def only_entity(df: DataFrame, key: str, value) -> DataFrame:
+    """Restrict to one entity on request (pushed to the scan as a filter)."""
+    return df if value is None else df.where(F.col(key) == F.lit(value))

@@ -106,3 +106,16 @@ def training_metrics(spark: SparkSession, sf_dir: str, horizon_hours: float = ef
                .withColumn("model", F.lit("Persistence")) \
                .withColumn("section", F.lit("continuous_metrics"))
     return ex.unionByName(cont)
+
+
+def pending_runs(stations: DataFrame, horizons, done: DataFrame | None) -> DataFrame:
+    """J7 + J8: every (station, horizon) pair not yet present in the run metadata.
+
+    ``horizons`` is a short parameter list, expanded with ``explode``; the finished
+    runs are removed with a left anti-join."""
+    pairs = stations.select("station_id").distinct().select(
+        "station_id", F.explode(F.array(*[F.lit(int(h)) for h in horizons])).alias("horizon_hours"))
+    if done is None:
+        return pairs
+    return pairs.join(done.select("station_id", "horizon_hours"), ["station_id", "horizon_hours"],
+                      "left_anti")

@@ -159,3 +159,28 @@ def test_partitioned_sink_roundtrip(spark, tmp_path):
     assert got == [("a", 0.9), ("b", 0.2)]
     plan = spark.read.parquet(p).where("station_id = 'b'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "station_id" in plan
+
+
+def test_pending_runs_and_latest(spark):
+    from flowrisk.operators.grid import latest_rows
+    from flowrisk.plans.training import pending_runs
+    st = spark.createDataFrame([("a",), ("b",)], "station_id string")
+    done = spark.createDataFrame([("a", 1)], "station_id string, horizon_hours int")
+    got = sorted(tuple(r) for r in pending_runs(st, [1, 6], done).collect())
+    assert got == [("a", 6), ("b", 1), ("b", 6)]
+    df = spark.createDataFrame([("a", _ts(0), 1.0), ("a", _ts(3), 2.0), ("b", _ts(1), 3.0)],
+                               "k string, t timestamp, v double")
+    assert sorted((r.k, r.v) for r in latest_rows(df, "k", "t").collect()) == [("a", 2.0), ("b", 3.0)]
+
+
+def test_typed_readers(spark, tmp_path):
+    from flowrisk.sources.readers import read_monitors, read_readings
+    p = tmp_path / "m.csv"
+    p.write_text("type,id,alt_id,site_name,pipe_diameter_mm,recently_active,lat,lon\n"
+                 "flow_monitor,9576,31144.0,FMT15 - WESTGATE,600.0,yes,50.8,-0.7\n")
+    m = read_monitors(spark, str(p)).collect()[0]
+    assert m.pipe_diameter_mm == 600.0 and m.alt_id == "31144.0"
+    r = tmp_path / "r.csv"
+    r.write_text("dateTime,value,valueQualifier\n2024-01-01T00:00:00,0.2,Good\n2024-01-01T00:15:00,NaN,\n")
+    rows = read_readings(spark, str(r), "rain_hde").collect()
+    assert rows[0].rain_hde == 0.2 and rows[1].rain_hde is None and rows[0].__fields__ == ["time", "rain_hde"]
