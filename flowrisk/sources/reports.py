@@ -119,12 +119,13 @@ def parse_flow(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     tx.flow_chunks(t).alias("_chunks"))
     rejects = d.where(F.col("_chunks").isNull()).select(
         "report_id", "source_file", F.lit("missing *CSTART/*CEND markers").alias("reason"))
+    extra = [c for c in docs.columns if c not in ("report_id", "source_file", "text")]
     rec = d.where(F.col("_chunks").isNotNull()).select(
         "report_id", "station_id", "source_file", "start_time", "end_time", "interval_min",
-        F.posexplode("_chunks").alias("_pos", "_chunk"))
+        *extra, F.posexplode("_chunks").alias("_pos", "_chunk"))
     idx = (F.col("_pos") + 1).cast("int")
     rec = rec.select(
-        "report_id", "station_id", "source_file", "start_time", "end_time", "interval_min",
+        "report_id", "station_id", "source_file", "start_time", "end_time", "interval_min", *extra,
         tx.timestamp_at(F.col("start_time"), F.col("interval_min"), idx).alias("time"),
         idx.alias("record_idx"),
         F.regexp_extract("_chunk", tx.CHUNK_RE, 1).cast("int").alias("flow_l_s"),
@@ -142,24 +143,31 @@ def parse_rain(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     tx.rain_values(t).alias("_vals"))
     rejects = d.where(F.col("_vals").isNull()).select(
         "report_id", "source_file", F.lit("missing *CSTART/*CEND markers").alias("reason"))
+    extra = [c for c in docs.columns if c not in ("report_id", "source_file", "text")]
     rec = d.where(F.col("_vals").isNotNull()).select(
         "report_id", "gauge_id", "source_file", "start_time", "end_time", "interval_min",
-        F.posexplode("_vals").alias("_pos", "_v"))
+        *extra, F.posexplode("_vals").alias("_pos", "_v"))
     idx = (F.col("_pos") + 1).cast("int")
     rec = rec.select("report_id", "gauge_id", "source_file", "start_time", "end_time",
-                     "interval_min",
+                     "interval_min", *extra,
                      tx.timestamp_at(F.col("start_time"), F.col("interval_min"), idx).alias("time"),
                      idx.alias("record_idx"), F.col("_v").cast("double").alias("rain_mm_hr"))
     return rec, rejects
 
 
-def replicate_and_dedup(records: DataFrame, report_ids: DataFrame, subset: list[str]) -> DataFrame:
-    """C3 + D3: copy each folder's records to all its report ids, then drop duplicates
-    on ``subset`` (report id excluded), keeping the smallest source file name."""
-    r = records.join(report_ids, "folder").select("*", F.explode("report_ids").alias("report_id_x"))
+def replicate_and_dedup(records: DataFrame, subset: list[str]) -> DataFrame:
+    """C3 + D3: copy each folder's records to every report id of its name (column
+    ``report_ids``), then drop duplicates on ``subset`` (report id excluded), keeping
+    the smallest source file name (deterministic)."""
+    r = records.select("*", F.explode("report_ids").alias("_rid"))
     return r.groupBy(*subset).agg(F.min("source_file").alias("source_file"))
 
 
+def docs_for_parsing(texts: DataFrame) -> DataFrame:
+    """Report texts -> parser input: the folder's first report id labels its records."""
+    return texts.where(F.col("text").isNotNull()).withColumn("report_id", F.col("report_ids")[0])
+
+
 def write_tables(df: DataFrame, path: str, partition_cols=(), fmt: str = "parquet") -> None:
     """Overwrite the output; with partition columns only the partitions
     present in ``df`` are replaced (dynamic partition overwrite)."""

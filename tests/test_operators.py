@@ -184,3 +184,34 @@ def test_typed_readers(spark, tmp_path):
     r.write_text("dateTime,value,valueQualifier\n2024-01-01T00:00:00,0.2,Good\n2024-01-01T00:15:00,NaN,\n")
     rows = read_readings(spark, str(r), "rain_hde").collect()
     assert rows[0].rain_hde == 0.2 and rows[1].rain_hde is None and rows[0].__fields__ == ["time", "rain_hde"]
+
+
+def test_report_folders_zip_and_dedup(spark, tmp_path):
+    """S6-S9 + C3: folder discovery, zip members, bad zip, replication to report ids."""
+    import zipfile
+
+    from flowrisk.sources.reports import (discover_files, docs_for_parsing, parse_flow,
+                                          replicate_and_dedup, report_texts)
+    raw = tmp_path / "raw"
+    (raw / "Chichester weekly report - interim 1,3-4").mkdir(parents=True)
+    (raw / "Chichester weekly report - interim 1,3-4" / "A.FDV").write_text(REPORT)
+    (raw / "p2-3" / "p3").mkdir(parents=True)
+    with zipfile.ZipFile(raw / "p2-3" / "p3" / "bundle.zip", "w") as z:
+        z.writestr("inner/B.fdv", REPORT)
+        z.writestr("notes.txt", "ignore")
+    (raw / "p2-3" / "p3" / "broken.zip").write_bytes(b"not a zip")
+    (raw / "other").mkdir()
+    (raw / "other" / "C.fdv").write_text(REPORT)
+    files = discover_files(spark, str(raw))
+    assert sorted(r.folder for r in files.collect()) == [
+        "Chichester weekly report - interim 1,3-4", "p3", "p3"]
+    texts = report_texts(files)
+    t = {r.source_file: r for r in texts.collect()}
+    assert set(t) == {"A.FDV", "bundle.zip::inner/B.fdv", "broken.zip"}
+    assert t["broken.zip"].reject_reason.startswith("bad zip")
+    rec, rej = parse_flow(docs_for_parsing(texts))
+    assert rec.count() == 6 and rej.count() == 0
+    ded = replicate_and_dedup(rec, ["station_id", "start_time", "end_time", "interval_min",
+                                    "time", "record_idx", "flow_l_s", "depth_mm", "velocity_m_s"])
+    got = ded.collect()
+    assert len(got) == 3 and {r.source_file for r in got} == {"A.FDV"}
