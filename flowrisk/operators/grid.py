@@ -107,20 +107,19 @@ def regular_grid(obs: DataFrame, keys, time: str, step_seconds: int,
     lo = F.greatest(F.col(BUCKET) * B - halo.lookback, F.lit(0).cast("long"))
     hi = F.least((F.col(BUCKET) + 1) * B + halo.lookahead - 1, F.col("_last"))
     g = g.select(*keys, "_t0", BUCKET, F.explode(F.sequence(lo, hi)).alias(RN))
-    for c, dt in obs.select(*value_cols).dtypes:
-        g = g.withColumn(c, F.lit(None).cast(dt))
+    g = g.select("*", *[F.lit(None).cast(dt).alias(c)
+                        for c, dt in obs.select(*value_cols).dtypes])
 
     # the union is merged by a grouped "first non-null" that runs on the
     # (keys, bucket) partitioning; _t0 rides along as a functionally dependent key.
     merged = g.unionByName(o).repartition(*keys, BUCKET)
     merged = merged.groupBy(*keys, "_t0", BUCKET, RN).agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
-    out = merged.withColumn(time, (F.col("_t0").cast("timestamp")
-                                   + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                                        F.col(RN) * step)).cast(
-        obs.schema[time].dataType))
-    out = out.withColumn(CORE, F.floor(F.col(RN) / F.lit(B)) == F.col(BUCKET))
-    return out.select(*keys, RN, time, *value_cols, BUCKET, CORE)
+    t = (F.col("_t0").cast("timestamp")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(RN) * step)
+         ).cast(obs.schema[time].dataType)
+    return merged.select(*keys, RN, t.alias(time), *value_cols, BUCKET,
+                         (F.floor(F.col(RN) / F.lit(B)) == F.col(BUCKET)).alias(CORE))
 
 
 def core_rows(df: DataFrame) -> DataFrame:

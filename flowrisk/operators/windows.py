@@ -176,8 +176,9 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
         # rounded mean: centred integer data stays integer, so its prefix sums are exact
         df = df.select("*", *[F.coalesce(F.round(F.avg(F.col(c).cast("double")).over(whole)),
                                          F.lit(0.0)).alias(ref[c]) for c in sum_cols])
-    for (c, thr), m in mask_specs.items():
-        df = df.withColumn(m, flag(F.col(c) > F.lit(thr)))
+    if mask_specs:
+        df = df.select("*", *[flag(F.col(c) > F.lit(thr)).alias(m)
+                              for (c, thr), m in mask_specs.items()])
     # running sums / counts (one Window operator)
     run_exprs = []
     for c in sum_cols:
@@ -194,20 +195,19 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
     if run_exprs:
         df = df.select("*", *run_exprs)
 
-    # doubling tables for max / min
-    def levels(c, top, fn, tag):
-        name = f"_{tag}1_{c}"
-        df_ = df.withColumn(name, F.col(c).cast("double"))
+    # doubling tables for max / min: one select per level for every column (each
+    # level needs the previous one through a lag, so levels are separate Window nodes)
+    tables = [("MX", c, top, F.greatest) for c, top in max_lv.items()] + \
+             [("MN", c, top, F.least) for c, top in min_lv.items()]
+    if tables:
+        df = df.select("*", *[F.col(c).cast("double").alias(f"_{tag}1_{c}")
+                              for tag, c, _, _ in tables])
         k = 1
-        while k < top:
-            prev, k = f"_{tag}{k}_{c}", k * 2
-            df_ = df_.withColumn(f"_{tag}{k}_{c}", fn(F.col(prev), F.lag(prev, k // 2).over(w)))
-        return df_
-
-    for c, top in max_lv.items():
-        df = levels(c, top, F.greatest, "MX")
-    for c, top in min_lv.items():
-        df = levels(c, top, F.least, "MN")
+        while any(k < top for _, _, top, _ in tables):
+            nxt = [fn(F.col(f"_{tag}{k}_{c}"), F.lag(f"_{tag}{k}_{c}", k).over(w))
+                   .alias(f"_{tag}{2 * k}_{c}") for tag, c, top, fn in tables if k < top]
+            df = df.select("*", *nxt)
+            k *= 2
 
     # ---- trailing windows ending at each row
     def full(c, n):

@@ -87,8 +87,8 @@ def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
     halo = halo.fitted() if fit else halo
     obs = flow_obs(ev)
     lay = regular_grid(obs, KEY, "time", STEP_S, halo)
-    lay = lay.withColumn(C.depth, F.coalesce(C.depth, F.lit(0)).cast("long")) \
-             .withColumn(C.flow, F.coalesce(C.flow, F.lit(0)).cast("long"))
+    lay = lay.withColumns({C.depth: F.coalesce(C.depth, F.lit(0)).cast("long"),
+                           C.flow: F.coalesce(C.flow, F.lit(0)).cast("long")})
     cap = obs.groupBy(KEY).agg(F.max(C.depth).alias("_cap"))
     fc = forecast_series(spark, ev, bucket_rows)
     rain = readings(ev, cents_avg("value"), 1800, C.rain, F.col(KEY) == "signup")
