@@ -187,3 +187,15 @@ def risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watermark-bounded dedup + foreachBatch merge, run with availableNow."""
     return stq.stream_events(spark, sf_dir)
+
+
+@register("rain_report_roundtrip", rpq.RAIN_ROUNDTRIP_SQL)
+def rain_report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2/F3/F8 (two-digit years): rain reports rendered from events, parsed back."""
+    return rpq.rain_roundtrip(spark, sf_dir)
+
+
+@register("permutation_importance")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M4/T5: gradient-boosted regressor + permutation importance (rows-only)."""
+    return slq.permutation(spark, sf_dir)

@@ -70,3 +70,45 @@ SELECT upper(g.event_type) AS station_id,
        coalesce(a.vel, 0.0) AS velocity_m_s
 FROM g LEFT JOIN agg a USING (event_type, day, slot)
 """
+
+
+def render_rain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rain report per day: the hourly mean value of ``signup`` events as the
+    rain rate (two decimals, ``NULL`` hours written as 0), 12 numbers per line,
+    10-digit header range (``yyMMddHHmm``)."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    hour = F.hour(F.col("ts"))
+    agg = ev.groupBy(F.to_date("ts").alias("day"), hour.alias("h")).agg(
+        (F.round(F.avg("value")) / 100.0).alias("rate"))
+    days = ev.select(F.to_date("ts").alias("day")).distinct()
+    grid = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    v = grid.join(agg, ["day", "h"], "left").select(
+        "day", "h", F.format_string("%.2f", F.coalesce("rate", F.lit(0.0))).alias("num"))
+    ln = v.groupBy("day", F.floor(F.col("h") / 12).cast("int").alias("line")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "num"))),
+                                 lambda x: x["num"]), " ").alias("body"))
+    docs = ln.groupBy("day").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))),
+                                 lambda x: x["body"]), "\n").alias("data"))
+    stamp = F.date_format("day", "yyMMdd")
+    head = F.concat(F.lit("**IDENTIFIER: 7,RG7\n*CSTART\n"), stamp, F.lit("0000 "), stamp,
+                    F.lit("2300   60\n*CEND\n"))
+    return docs.select(F.date_format("day", "yyyyMMdd").alias("report_id"),
+                       F.lit("rg7.r").alias("source_file"), F.concat(head, "data").alias("text"))
+
+
+def rain_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowrisk.sources.reports import parse_rain
+    rec, _ = parse_rain(render_rain_reports(spark, sf_dir))
+    return rec.select("gauge_id", "time", "record_idx", "rain_mm_hr")
+
+
+RAIN_ROUNDTRIP_SQL = """
+WITH ev AS (SELECT CAST(ts AS DATE) AS day, hour(ts) AS h, value FROM events WHERE event_type = 'signup'),
+agg AS (SELECT day, h, round(avg(value)) / 100.0 AS rate FROM ev GROUP BY 1, 2),
+days AS (SELECT DISTINCT day FROM ev),
+g AS (SELECT day, unnest(range(0, 24)) AS h FROM days)
+SELECT 'RG7' AS gauge_id, CAST(g.day AS TIMESTAMP) + to_hours(CAST(g.h AS BIGINT)) AS time,
+       CAST(g.h + 1 AS INTEGER) AS record_idx, coalesce(a.rate, 0.0) AS rain_mm_hr
+FROM g LEFT JOIN agg a USING (day, h)
+"""

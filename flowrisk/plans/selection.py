@@ -217,3 +217,29 @@ SELECT feature, "group", round(importance, 6) AS importance,
        CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank
 FROM best"""
 SELECTED_SQL = SELECTED_SQL.replace("WITH li AS", "WITH RECURSIVE li AS", 1)
+
+
+def permutation(spark: SparkSession, sf_dir: str, sample_size: int = 20000,
+                max_iter: int = 20) -> DataFrame:
+    """M3 + M4 + T5: regressor on the last forward fold (k = 3) of lineitem ordered by
+    ship date, permutation importance on a seeded sample of its validation rows."""
+    from flowrisk.operators import models as ml
+    li = table(spark, sf_dir, "lineitem")
+    df = li.select("l_orderkey", "l_linenumber", "l_shipdate", *[F.col(c) for c in
+                   ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    df = df.select("*",
+                   (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+                   F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
+                   (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
+                   (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+                   .alias("charge")).dropna()
+    df = df.withColumn("_all", F.lit(1))
+    df = cv.ordinal(df, "_all", "l_shipdate", F.date_trunc("month", "l_shipdate"))
+    df = df.withColumn("n_train", F.col("n_rows"))
+    roles = cv.fold_roles(df, 3).where(F.col("fold") == 3)
+    train = roles.where(F.col("role") == "train")
+    val = roles.where(F.col("role") == "val")
+    model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter)
+    sample = sel.seeded_sample(val, sample_size, 42, ["l_orderkey", "l_linenumber"])
+    imp = ml.permutation_importance(model, sample, LINEITEM_FEATURES, "charge", seed=42)
+    return imp.select("feature", rnd("importance", 6).alias("importance"))
