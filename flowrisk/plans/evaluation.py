@@ -21,6 +21,7 @@ from flowrisk.operators import evaluate as ev
 from flowrisk.operators.metrics import decide, exceed, metric_table, persistence_prob
 from flowrisk.operators.windows import Feat
 from flowrisk.plans import event_panel as ep
+from flowrisk.session import stage
 
 HORIZONS = (1, 6, 24)
 THRESHOLD = 0.5
@@ -52,7 +53,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_table(scored(spark, sf_dir), KEYS)
+    # the scored rows feed several aggregations: computed once, staged in the
+    # checkpoint folder, instead of recomputing the windowed panel per branch
+    return metric_table(stage(scored(spark, sf_dir), "scored"), KEYS)
 
 
 def comparison(spark, sf_dir):

@@ -18,6 +18,7 @@ from flowrisk.operators import select as sel
 from flowrisk.operators.metrics import exceed, persistence_prob
 from flowrisk.operators.windows import Feat
 from flowrisk.plans import event_panel as ep
+from flowrisk.session import stage
 from flowrisk.sources.tables import table
 
 TEST_FRAC = 0.2
@@ -30,7 +31,7 @@ def _complete_panel(spark, sf_dir):
     feats = [Feat(f"target_{h}", "next_max", "fill_ratio", h) for h in HORIZONS]
     feats.append(Feat("mx24", "trail_max", "fill_ratio", 24))
     p = ep.fill_panel(spark, sf_dir, feats)
-    return p.dropna(subset=["fill_ratio", "mx24", "target_6"])
+    return stage(p.dropna(subset=["fill_ratio", "mx24", "target_6"]), "panel")
 
 
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
