@@ -28,6 +28,7 @@ from flowrisk.operators.grid import (core_rows, drop_duplicated_times, non_negat
 from flowrisk.operators.halo import HaloSpec
 from flowrisk.operators.windows import Feat, compute_features, halo_of, rows
 from flowrisk.plans.sqlgen import calendar_sql, feature_sql
+from flowrisk.session import stage
 from flowrisk.sources.tables import table
 
 KEY = "event_type"
@@ -90,7 +91,9 @@ def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
     lay = lay.withColumns({C.depth: F.coalesce(C.depth, F.lit(0)).cast("long"),
                            C.flow: F.coalesce(C.flow, F.lit(0)).cast("long")})
     cap = obs.groupBy(KEY).agg(F.max(C.depth).alias("_cap"))
-    fc = forecast_series(spark, ev, bucket_rows)
+    # one global series (bounded by the time span): staged so its own grid / cumsum
+    # sub-plan is not repeated inside every branch of the panel plan
+    fc = stage(forecast_series(spark, ev, bucket_rows), "forecast")
     rain = readings(ev, cents_avg("value"), 1800, C.rain, F.col(KEY) == "signup")
     grnd = readings(ev, F.avg(F.get_json_object("props", "$.k").cast("double")), 7200, C.grnd)
     lay = (lay.join(cap, KEY).withColumn(C.fill, safe_div(F.col(C.depth), F.col("_cap")))
