@@ -76,10 +76,23 @@ def candidate_order(upstream: str = "upstream", distance: str = "distance_m") ->
 
 
 def candidate_ranks(candidates: DataFrame, target: str, cand: str,
-                    upstream: str = "upstream", distance: str = "distance_m") -> DataFrame:
-    """1-based order of each candidate within its target (the ordered list as rows)."""
-    w = Window.partitionBy(target).orderBy(F.col(upstream).desc(), F.col(distance).asc(), F.col(cand))
-    return candidates.withColumn("candidate_rank", F.row_number().over(w))
+                    upstream: str = "upstream", distance: str = "distance_m",
+                    distance_bucket: float = 1000.0) -> DataFrame:
+    """1-based order of each candidate within its target (the ordered list as rows).
+
+    Computed with the bucketed ordinal (``cv.ordinal``): candidates are counted per
+    (target, upstream flag, distance bucket), offsets are prefix-summed over that small
+    table, and only one bucket is ordered at a time; a target with very many
+    candidates is therefore never ranked inside a single task.
+    """
+    from flowrisk.operators.cv import ordinal
+    order = F.struct((~F.col(upstream)).alias("_down"), F.col(distance).alias("_d"),
+                     F.col(cand).alias("_c"))
+    bucket = F.struct((~F.col(upstream)).alias("_down"),
+                      F.floor(F.col(distance) / F.lit(distance_bucket)).alias("_db"))
+    r = ordinal(candidates.withColumn("_order", order), target, "_order", bucket, "_rk")
+    return r.withColumn("candidate_rank", (F.col("_rk") + 1).cast("int")) \
+            .drop("_order", "_rk", "n_rows")
 
 
 def first_with_data(candidates: DataFrame, available: DataFrame, target: str, cand: str,
