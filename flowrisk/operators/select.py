@@ -22,19 +22,28 @@ from flowrisk.functions.columns import attach_scalars, col
 from flowrisk.session import checkpoint_dir
 
 
-def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(a, b, abs_corr)`` for every pair a < b (by position in ``features``)."""
+def correlation_pairs(df: DataFrame, features: Sequence[str], pairs_per_pass: int = 15
+                      ) -> DataFrame:
+    """``(a, b, abs_corr)`` for every pair a < b (by position in ``features``).
+
+    Pairwise-complete Pearson correlation (``corr`` ignores rows where either value is
+    NULL).  The pairs are aggregated in chunks of ``pairs_per_pass`` so that each
+    aggregate keeps fewer buffer fields than the whole-stage codegen limit; every chunk
+    is one partial-aggregation pass and the chunk results are unioned.
+    """
     feats = list(features)
-    aggs, names = [], []
-    for i, a in enumerate(feats):
-        for b in feats[i + 1:]:
-            names.append((a, b))
-            aggs.append(F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"_c{len(aggs)}"))
-    row = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                               F.abs(F.col(f"_c{i}")).alias("abs_corr"))
-                      for i, (a, b) in enumerate(names)])
-    return row.select(F.explode(pairs).alias("_p")).select("_p.a", "_p.b", "_p.abs_corr")
+    names = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
+    out = None
+    for start in range(0, len(names), pairs_per_pass):
+        chunk = names[start:start + pairs_per_pass]
+        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"_c{i}")
+                       for i, (a, b) in enumerate(chunk)])
+        arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
+                                 F.abs(F.col(f"_c{i}")).alias("abs_corr"))
+                        for i, (a, b) in enumerate(chunk)])
+        part = row.select(F.explode(arr).alias("_p")).select("_p.a", "_p.b", "_p.abs_corr")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def importance_filter(imp: DataFrame, frac: float = 0.05, feature: str = "feature",
