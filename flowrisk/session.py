@@ -35,20 +35,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts, as named in ``spark.checkpoint.dir``.
 
-    On a cluster the operator names it in ``spark.checkpoint.dir`` (a shared,
-    fault-tolerant file system).  Only when it is unset (tests, local runs) we
-    create a scratch folder of our own.
+    On a cluster the setting has to name a shared, fault-tolerant file system; a session
+    without it is refused there, because a folder of the driver's machine would be
+    invisible to the executors.  Only a single-process ``local[...]`` session (tests, the
+    bench) gets a scratch folder of its own.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowrisk-ckpt-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def stage(df, name: str = "stage"):
