@@ -121,7 +121,7 @@ def find_splitters(narrow: DataFrame, targets: list[tuple[float, float, float]],
 
 
 def histogram_shards(df: DataFrame, shards: int, *, group: Column, tie: str, weight: Column,
-                     tolerance: float = 0.01, group_slack: float = 0.05,
+                     tolerance: float = 0.002, group_slack: float = 0.05,
                      cell_weight: int = 16 << 20) -> DataFrame:
     """``df`` plus ``weight``, ``shard`` (0 .. shards-1) and ``slot`` (gapless per shard).
 
