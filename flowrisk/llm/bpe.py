@@ -14,21 +14,16 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrisk.llm.common import in_pieces, texts
+from flowrisk.llm.common import map_column, raw_texts, texts
 
 #: Code point of byte 0; bytes follow one another, clear of white space and controls.
 FIRST = 0x100
 #: Pre-tokens that a worker remembers, and the longest that it does, in characters.
 MEMO, MEMO_CHARS = 400_000, 40
-#: Characters that are encoded before their rows are handed back.
-AT_ONCE = 4 << 20
 
 
 def mapped(raw: bytes) -> str:
@@ -135,33 +130,11 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     pass unchanged; an existing column named ``ids`` is replaced.
     """
     model = df.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))
-    return _mapped(df, text, ids, lambda: encoder(model.value, pattern).encode, texts)
+    return map_column(df, text, ids, T.BinaryType(), lambda: encoder(model.value, pattern).encode, texts)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded",
                ) -> DataFrame:
     """``df`` with the bytes (binary) that the ids stand for in place of the ids."""
     model = df.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(ranks_path)))
-    return _mapped(df, ids, out, lambda: encoder(model.value, pattern).decode,
-                   lambda c: [x or b"" for x in c.to_pylist()])
-
-
-def _mapped(df: DataFrame, source: str, target: str, maker, read) -> DataFrame:
-    """One column through a function of its values, in batches of bounded size."""
-    rest = [c for c in df.columns if c not in (source, target)]
-    kept = df.select(*rest, F.col(source))
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(target, T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = maker()
-        for b in batches:
-            values = read(b.column(len(rest)))
-            for i, j in in_pieces([len(v) for v in values], AT_ONCE):
-                new = pa.array([f(v) for v in values[i:j]], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(k).slice(i, j - i) for k in range(len(rest))] + [new], [*rest, target])
-
-    return kept.mapInArrow(run, schema)
-
-
-__all__ = ["bpe_decode", "bpe_encode", "read_ranks", "sentencepiece_model"]
+    return map_column(df, ids, out, T.BinaryType(), lambda: encoder(model.value, pattern).decode, raw_texts)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space of the corpus contracts: space, tab, line feed, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,6 +43,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+#: Characters or bytes that are worked on before their rows are handed back.
+AT_ONCE = 4 << 20
+
+
 def in_pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to at most ``most`` (or hold one item)."""
     start, total = 0, 0
@@ -52,3 +57,27 @@ def in_pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def map_column(df: DataFrame, source: str, target: str, kind: T.DataType, maker: Callable[[], Callable],
+               read: Callable[[pa.Array], list]) -> DataFrame:
+    """``df`` with ``target``, a function of each value of ``source``, in place of ``source``.
+
+    ``maker`` builds the function once per task; rows go back in batches of bounded size.
+    """
+    rest = [c for c in df.columns if c not in (source, target)]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(target, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = maker()
+        for b in batches:
+            values = read(b.column(len(rest)))
+            for i, j in in_pieces([len(v) for v in values], AT_ONCE):
+                new = pa.array([f(v) for v in values[i:j]], TO_ARROW[type(kind)])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(k).slice(i, j - i) for k in range(len(rest))] + [new], [*rest, target])
+
+    return df.select(*rest, F.col(source)).mapInArrow(run, schema)
+
+
+TO_ARROW = {T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.StringType: pa.string()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import bpe, counts, packing, sharding
+from flowrisk.llm import bpe, counts, embeddings, packing, repeats, sharding, simhash
 from flowrisk.llm.common import documents, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,27 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register()
+def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 100-byte strings that also start earlier."""
+    out = repeats.drop_repeats(documents(spark, sf_dir).select("doc_id", "text"), width=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of 4-word shingles, and the groups that 4 or fewer differing bits link."""
+    prints = simhash.simhash(documents(spark, sf_dir).select("doc_id", "text"), shingle=4, seed=42)
+    out = simhash.near_duplicates(prints, radius=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register()
+def op6_int8_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked by a cosine of 0.9 or more."""
+    return embeddings.cosine_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 @register()
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the byte-level ranks, and what they decode to."""
