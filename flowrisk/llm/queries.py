@@ -7,13 +7,73 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import bpe, counts, embeddings, packing, repeats, sharding, simhash
+from flowrisk.llm import bpe, counts, embeddings, packing, quality, repeats, sharding, simhash
 from flowrisk.llm.common import documents, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+# Texts, words and lines as the statistics see them; sketch buckets in whole numbers.
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again
+  FROM (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+r AS (
+  SELECT doc_id, sum(least(3, i - before)) AS n_repeat_words
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 3) AS before
+        FROM g WHERE again) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_symbols * 1000 // greatest(word_chars, 1) AS v_symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS v_lines,
+         n_repeat_words * 1000 // greatest(n_words, 1) AS v_words, word_chars * 100 // greatest(n_words, 1) AS v_length
+  FROM s),
+u AS (
+  SELECT lang, source, rule, v FROM b, LATERAL (VALUES ('symbols', v_symbols), ('lines', v_lines),
+    ('words', v_words), ('length', v_length)) x(rule, v) WHERE NOT base_failed),
+k AS (
+  SELECT *, CASE WHEN v < 8 THEN v ELSE (1 << (length(bin(v)) - 4)) * (v // (1 << (length(bin(v)) - 4))) END AS low
+  FROM u),
+q AS (
+  SELECT lang, source, rule, GROUPING(lang, source) AS level, count(*) AS n,
+         quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3
+  FROM k GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))),
+f AS (
+  SELECT o.lang, o.source, o.rule, m.least,
+         CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
+         CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+  FROM (SELECT * FROM q WHERE level = 0) o
+  JOIN (SELECT * FROM q WHERE level = 1) l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule
+  JOIN (SELECT * FROM q WHERE level = 3) a ON o.rule = a.rule
+  JOIN (VALUES ('symbols', 10), ('lines', 150), ('words', 150), ('length', 100)) m(rule, least) ON o.rule = m.rule),
+c AS (
+  SELECT lang, source,
+         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'symbols') AS symbols_high,
+         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'lines') AS lines_high,
+         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'words') AS words_high,
+         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'length') AS length_high,
+         max(q1 - 3 * greatest(q3 - q1, least)) FILTER (rule = 'length') AS length_low
+  FROM f GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND v_symbols <= symbols_high AND v_lines <= lines_high AND v_words <= words_high
+                AND v_length <= length_high AND v_length >= length_low, false) AS kept
+FROM b LEFT JOIN c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source
+"""
+
+
 def register(sql: str | None = None):
     def deco(fn):
         QUERIES[fn.__name__] = fn
@@ -78,6 +138,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+@register(QUALITY_SQL)
+def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of every text, and the verdict of its language and source's thresholds."""
+    out = quality.apply_rules(documents(spark, sf_dir), carry=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept")
+
+
 @register()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2,048 tokens."""
