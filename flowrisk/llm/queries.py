@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import bpe, counts, embeddings, packing, quality, repeats, sharding, simhash
+from flowrisk.llm import (bpe, counts, embeddings, licenses, packing, quality, repeats, sharding, simhash,
+                          templates)
 from flowrisk.llm.common import documents, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +100,20 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register(licenses.oracle_sql())
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licenses that a whole text, or a whole line of it, is in canonical form."""
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+@register()
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines whose template recurs in ten or more documents."""
+    out = templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"), min_documents=10)
+    return out.select("doc_id", "n_lines", "n_dropped",
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @register()
 def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the 100-byte strings that also start earlier."""

@@ -207,7 +207,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 100, gram: int = 24,
-                 hot: int = 4096, parts: int | None = None) -> DataFrame:
+                 hot: int = 4096, parts: int | None = None, as_text: bool = False) -> DataFrame:
     """``df`` with ``kept`` (binary) in place of the text, ``n_bytes``, ``n_removed`` and ``n_spans``.
 
     Removed is every byte within a ``width``-byte string that also starts earlier: in a row
@@ -215,7 +215,8 @@ def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", widt
     same text; strings are judged on the input, and overlaps count.  Matches never cross
     texts.  Null and empty texts stay empty, texts shorter than ``width`` stay as they are.
     Other columns pass unchanged; existing columns of the new names are replaced.
-    ``width`` is at least 16; ``parts`` are the units of the exchange (four per shuffle
+    ``as_text`` gives the remaining text (string, in the text's column) instead of ``kept``;
+    a character that is cut in two goes as a whole there.  ``width`` is at least 16; ``parts`` are the units of the exchange (four per shuffle
     partition unless given).
     """
     new = ("kept", "n_bytes", "n_removed", "n_spans")
@@ -285,8 +286,8 @@ def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", widt
         "part int, row long, key long, start long, end long, digit long, twice boolean, content binary")
     ranges = runs.groupBy(bucket.alias("bucket")).applyInArrow(
         lambda t: settle(t, width), "part int, row long, start long, end long")
-    schema = T.StructType([df.schema[c] for c in rest] + [
-        T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in new[1:])])
+    kept_ = T.StructField(text, T.StringType()) if as_text else T.StructField("kept", T.BinaryType())
+    schema = T.StructType([df.schema[c] for c in rest] + [kept_, *(T.StructField(c, T.LongType()) for c in new[1:])])
 
     def rebuild(docs, found):
         of: dict[int, list[tuple[int, int]]] = {}
@@ -296,7 +297,10 @@ def drop_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", widt
         done = [without(t, of.get(r, ())) for t, r in zip(raw, docs[row_].to_pylist())]
         size = [len(t) for t in raw]
         cols = {c: docs[c] for c in rest}
-        cols["kept"] = pa.array([k for k, _ in done], pa.binary())
+        if as_text:
+            cols[text] = pa.array([k.decode("utf-8", "ignore") for k, _ in done], pa.string())
+        else:
+            cols["kept"] = pa.array([k for k, _ in done], pa.binary())
         cols["n_bytes"] = pa.array(size, pa.int64())
         cols["n_removed"] = pa.array([z - len(k) for z, (k, _) in zip(size, done)], pa.int64())
         cols["n_spans"] = pa.array([m for _, m in done], pa.int64())
