@@ -107,30 +107,34 @@ def cosine_groups(df: DataFrame, *, key: str = "vec_id", vector: str = "embeddin
     rows = stage(df.select(F.col(key).cast("long").alias("id"),
                            F.when(F.coalesce(good, F.lit(False)), v).alias("vector")), "vectors")
     classes = stage(rows.where("vector is not null").groupBy("vector")
-                    .agg(F.min("id").alias("id"), F.count("*").alias("many")), "classes")
+                    .agg(F.min("id").alias("id"), F.count("*").alias("many"))
+                    .withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     blocks = max(1, -(-n // block), min(8, n // 256))
-    placed = classes.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int"))
+    placed = classes.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = (placed.withColumn("other", others)
              .select(F.size("vector").alias("dims"), F.least("block", "other").alias("p"),
-                     F.greatest("block", "other").alias("q"), "block", "id", "many", "vector"))
+                     F.greatest("block", "other").alias("q"), "block", "node", "many", "vector"))
 
     def task(key_, table):
         p, q = key_[1].as_py(), key_[2].as_py()
         order = np.argsort(table["block"].to_numpy(), kind="stable")
-        ids, many = table["id"].to_numpy()[order], table["many"].to_numpy()[order]
+        nodes, many = table["node"].to_numpy()[order], table["many"].to_numpy()[order]
         flat = table["vector"].combine_chunks()
-        vectors = flat.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)[order]
+        vectors = flat.flatten().to_numpy().astype(np.float64).reshape(len(nodes), -1)[order]
         split = None if p == q else int((table["block"].to_numpy() == p).sum())
-        return pa.table(dict(zip(("id", "links", "mate"), map(pa.array, pair_links(ids, many, vectors, split, threshold)))))
-
-    found = stage(dealt.groupBy("dims", "p", "q").applyInArrow(task, "id long, links long, mate long"), "cosine-links")
-    group = components(found.select(F.col("id").alias("a"), F.col("mate").alias("b"))).withColumnRenamed("node", "id")
-    outside = found.groupBy("id").agg(F.sum("links").alias("links"))
-    by_class = (classes.join(outside, "id", "left").join(group, "id", "left")
-                .select("vector", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-                        F.coalesce("component", "id").alias("component_id")))
+        found = pair_links(nodes, many, vectors, split, threshold)
+        return pa.table(dict(zip(("node", "links", "mate"), map(pa.array, found))))
+
+    found = stage(dealt.groupBy("dims", "p", "q").applyInArrow(task, "node long, links long, mate long"), "cosine-links")
+    group = components(found.select(F.col("node").alias("a"), F.col("mate").alias("b")))
+    outside = found.groupBy("node").agg(F.sum("links").alias("links"))
+    member = (classes.join(outside, "node", "left").join(group, "node", "left")
+              .withColumn("group", F.coalesce("component", "node")))
+    least = member.groupBy("group").agg(F.min("id").alias("component_id"))
+    by_class = member.join(least, "group").select(
+        "vector", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     return (rows.join(by_class, "vector", "left")
             .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "id").alias("component_id"))
