@@ -68,7 +68,7 @@ def parse(lines: list[list[str]], alike: float) -> list[int]:
             known[best][~same[best]] = -1
         else:
             best = len(first)
-            known[best] = line
+            known[best] = np.maximum(line, -1)
             first.append(i)
         out.append(first[best])
     return out
