@@ -18,30 +18,40 @@ from flowrisk.session import stage
 TOKENIZER, CAPACITY = "word_bpe_49k.json", 2048
 
 
-def _as_documents(out: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, with the length of the text as it is now."""
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*like.columns)
+#: Columns that the stages read; any others travel under names that clash with nothing.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    return docs.toDF(*[c if c in OWN else f"_other{i}" for i, c in enumerate(docs.columns)])
+
+
+def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a stage's result, with the length of the text as it is now."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*_aside(docs).columns).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language and source's thresholds."""
-    return quality.apply_rules(docs).where("kept").select(*docs.columns)
+    return _restored(quality.apply_rules(_aside(docs)).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs (but for its first line)."""
-    return _as_documents(templates.drop_templates(docs, min_documents=10), docs)
+    return _restored(templates.drop_templates(_aside(docs), min_documents=10), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 4 or fewer bits of the SimHash link: the least doc_id."""
-    prints = simhash.simhash(docs.withColumn("_hashed", F.col("text")), "_hashed", shingle=4, seed=42)
-    return simhash.near_duplicates(prints, radius=4).where("kept").select(*docs.columns)
+    prints = simhash.simhash(_aside(docs).withColumn("_hashed", F.col("text")), "_hashed", shingle=4, seed=42)
+    return _restored(simhash.near_duplicates(prints, radius=4).where("kept"), docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the 100-byte strings that also start earlier."""
-    return _as_documents(repeats.drop_repeats(docs, width=100, as_text=True), docs)
+    return _restored(repeats.drop_repeats(_aside(docs), width=100, as_text=True), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
