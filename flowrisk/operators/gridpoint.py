@@ -1,16 +1,16 @@
 """Forecast cube -> point series.
 
 J11: for each requested point the nearest latitude and the nearest longitude are
-chosen independently among the cube's distinct axis values.  Axis values are matched
-through an equi-join on coordinate buckets (the point's bucket and its neighbours), so
-no all-pairs product is formed; ties go to the smaller coordinate.
+chosen independently among the cube's distinct axis values: the axis values next below
+and next above a point are found by windows over coordinate buckets, so no all-pairs
+product is formed; ties go to the smaller coordinate.
 A1: z-score with the series mean and sample standard deviation; W16: cumulative sum
 in time order (carried across time buckets by ``compute_features``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.functions.columns import attach_scalars, safe_div
@@ -18,14 +18,32 @@ from flowrisk.functions.columns import attach_scalars, safe_div
 
 def nearest_axis(points: DataFrame, axis_values: DataFrame, coord: str, out: str,
                  bucket_width: float = 1.0) -> DataFrame:
-    """Nearest ``axis_values.value`` to ``points[coord]`` (per point id column ``point``)."""
+    """Nearest ``axis_values.value`` to ``points[coord]`` (per point id column ``point``).
+
+    Points and axis values are laid out together by coordinate bucket.  The axis values
+    just below and just above a point come from windows within its bucket, or, where the
+    bucket has none on that side, from the nearest bucket that does (last / first value
+    carried over the small table of buckets).  So any spacing of the axis works, and a
+    point beyond its ends gets the end.
+    """
     b = lambda c: F.floor(F.col(c) / F.lit(bucket_width)).cast("long")
-    ax = axis_values.select(F.col("value").alias("_ax")).distinct().withColumn("_b", b("_ax"))
-    p = points.select("point", coord).withColumn(
-        "_b", F.explode(F.array(b(coord) - 1, b(coord), b(coord) + 1)))
-    j = p.join(ax, "_b")
-    d = F.abs(F.col("_ax") - F.col(coord))
-    return j.groupBy("point").agg(F.min_by("_ax", F.struct(d.alias("d"), F.col("_ax"))).alias(out))
+    none = F.lit(None)
+    ax = axis_values.select(F.col("value").cast("double").alias("_ax")).distinct()
+    u = (points.select("point", F.col(coord).cast("double").alias("_x"), none.cast("double").alias("_ax"))
+         .unionByName(ax.select(none.cast(points.schema["point"].dataType).alias("point"),
+                                F.col("_ax").alias("_x"), "_ax")).withColumn("_b", b("_x")))
+    ends = u.groupBy("_b").agg(F.min("_ax").alias("_first"), F.max("_ax").alias("_last"))
+    line = Window.orderBy("_b")                                   # one row per bucket
+    ends = ends.select(
+        "_b", F.last("_last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inb = Window.partitionBy("_b").orderBy("_x")
+    near = u.select("*", F.last("_ax", True).over(inb.rangeBetween(Window.unboundedPreceding, 0)).alias("_lo"),
+                    F.first("_ax", True).over(inb.rangeBetween(0, Window.unboundedFollowing)).alias("_hi"))
+    near = near.where(F.col("point").isNotNull()).join(ends, "_b")
+    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
+    pick = F.when(hi.isNull() | (F.col("_x") - lo <= hi - F.col("_x")), lo).otherwise(hi)
+    return near.select("point", pick.alias(out)).where(F.col(out).isNotNull())
 
 
 def point_series(cube: DataFrame, points: DataFrame, bucket_width: float = 1.0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk.functions.columns import rnd
-from flowrisk.operators.gridpoint import point_series, zscore
+from flowrisk.operators.gridpoint import nearest_axis, point_series, zscore
 from flowrisk.operators.grid import regular_grid
 from flowrisk.operators.halo import HaloSpec
 from flowrisk.operators.windows import Feat, compute_features
@@ -48,6 +48,29 @@ def gridpoint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         rnd(F.max("z_cum"), 6).alias("max_cum"), rnd(F.min("z_cum"), 6).alias("min_cum"))
 
 
+def sparse_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 on coarse, uneven axes with points between and beyond them: suppliers are the
+    points, latitudes and longitudes come from nations (squares and cubes)."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    axes = n.select((F.col("k") * F.col("k") * 2.5 - 300).alias("latitude"),
+                    (F.col("k") * F.col("k") * F.col("k") / 4.0).alias("longitude"))
+    p = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("point"), (F.col("s_acctbal") / 4).alias("lat"),
+        (F.col("s_acctbal") * 0.7 - 1000).alias("lon"))
+    lat = nearest_axis(p, axes.select(F.col("latitude").alias("value")), "lat", "latitude")
+    lon = nearest_axis(p, axes.select(F.col("longitude").alias("value")), "lon", "longitude")
+    return lat.join(lon, "point").select(F.col("point").cast("long").alias("point"), "latitude", "longitude")
+
+
+SPARSE_AXES_SQL = """
+WITH ax AS (SELECT CAST(n_nationkey AS BIGINT) * n_nationkey * 2.5 - 300 AS la,
+                   CAST(n_nationkey AS BIGINT) * n_nationkey * n_nationkey / 4.0 AS lo FROM nation),
+p AS (SELECT CAST(s_suppkey AS BIGINT) AS point, s_acctbal / 4 AS x, s_acctbal * 0.7 - 1000 AS y FROM supplier)
+SELECT point, CAST(arg_min(la, (abs(la - x), la)) AS DOUBLE) AS latitude,
+       CAST(arg_min(lo, (abs(lo - y), lo)) AS DOUBLE) AS longitude
+FROM p, ax GROUP BY point
+"""
+
 GRIDPOINT_SQL = """
 WITH cube AS (
   SELECT o.o_orderdate AS time, 50.0 + c.c_nationkey * 0.25 AS latitude,
