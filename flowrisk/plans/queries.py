@@ -199,3 +199,15 @@ def rain_report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3/M4/T5: gradient-boosted regressor + permutation importance (rows-only)."""
     return slq.permutation(spark, sf_dir)
+
+
+@register("gridpoint_sparse_axes", gpq.SPARSE_AXES_SQL)
+def gridpoint_sparse_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J11 on coarse and uneven axes, with points beyond their ends."""
+    return gpq.sparse_axes(spark, sf_dir)
+
+
+@register("streaming_replay", stq.REPLAY_SQL)
+def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 on several files in reverse time order, then corrections of every reading."""
+    return stq.replay_out_of_order(spark, sf_dir)
