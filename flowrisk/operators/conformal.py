@@ -8,7 +8,7 @@ decision threshold is ``1 - q_hat``.  Calibration is only built when both classe
 are present; otherwise the threshold is NULL and decisions fall back to ``p >= 0.5``.
 
 The order statistic is found without sorting a whole group in one task: scores are
-counted per (group, value bin); the bin holding the k-th value is located from the
+counted per (group, balanced value bin); the bin holding the k-th value is located from the
 prefix counts of the small bin table, and only that bin is ordered.
 """
 
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.operators.metrics import decide
+from flowrisk.operators.metrics import balanced_bins, decide
 
 
 def _g(group) -> list[str]:
@@ -37,15 +37,14 @@ def quantile_level(n, alpha: float):
 
 
 def kth_smallest(df: DataFrame, group, value: str, k: DataFrame, k_col: str = "k",
-                 bins: int = 1024) -> DataFrame:
+                 bins: int = 128) -> DataFrame:
     """Per group, the value at 0-based position ``k`` of the sorted values.
 
-    ``k`` holds one row per group with column ``k_col``.  Values are expected in a
-    bounded range such as [0, 1] (the bins are ``floor(value * bins)``).
+    ``k`` holds one row per group with column ``k_col``.
     """
     g = _g(group)
-    c = df.groupBy(*g, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")) \
-          .withColumn("_b", F.floor(F.col("_v") * F.lit(bins)).cast("long"))
+    c = df.groupBy(*g, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    c = balanced_bins(c, g, "_v", bins, "_b")
     bc = c.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
     upto = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bc = bc.withColumn("_cum", F.sum("_bc").over(upto))

@@ -11,10 +11,10 @@ All metrics are computed for many groups (station x horizon x model) at once.
 
 AUC / AP need, for every distinct score, the number of positives and negatives with
 a strictly smaller score.  Ties are collapsed first (``groupBy(group, score)``), then
-scores are cut into ``score_bins`` value bins: prefix counts run inside each
-(group, bin) window and the counts of earlier bins come from a small bin table.  No
-window ever spans a whole group, so a group holding a third of the rows is still
-spread over many tasks.
+the distinct scores are cut into ``bins`` of nearly equal size at splitters from a
+mergeable quantile sketch per group: prefix counts run inside each (group, bin) window
+and the counts of earlier bins come from a small bin table.  No window ever spans a
+whole group, and scores that crowd near 0 still spread over all bins.
 """
 
 from __future__ import annotations
@@ -72,30 +72,43 @@ def positive_weight(n_pos: Column, n_neg: Column) -> Column:
     return F.greatest(n_neg, F.lit(1)).cast("double") / F.greatest(n_pos, F.lit(1))
 
 
-def rank_counts(df: DataFrame, group, y: str, score: str, score_bins: int = 1024) -> DataFrame:
+def balanced_bins(distinct: DataFrame, group, value: str, bins: int = 128,
+                  name: str = "_bin") -> DataFrame:
+    """``distinct`` (one row per group and value) plus a bin that is non-decreasing in the
+    value; the bins of a group hold nearly equal numbers of rows."""
+    g = _g(group)
+    at = [i / bins for i in range(1, bins)]
+    cuts = distinct.groupBy(*g).agg(
+        F.array_distinct(F.percentile_approx(value, at, F.lit(50 * bins))).alias("_cuts"))
+    v = F.col(value)
+    return (distinct.join(cuts, g)
+            .withColumn(name, F.size(F.filter("_cuts", lambda c: c < v)).cast("long")).drop("_cuts"))
+
+
+def rank_counts(df: DataFrame, group, y: str, score: str, bins: int = 128) -> DataFrame:
     """Per (group, distinct score): pos, neg and counts of pos/neg with smaller scores."""
     g = _g(group)
     c = (df.where(F.col(score).isNotNull())
          .groupBy(*g, F.col(score).cast("double").alias("_s"))
          .agg(F.sum(F.col(y)).cast("long").alias("_pos"),
-              F.sum(1 - F.col(y)).cast("long").alias("_neg"))
-         .withColumn("_bin", F.floor(F.col("_s") * F.lit(score_bins)).cast("long")))
-    bins = c.groupBy(*g, "_bin").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
+              F.sum(1 - F.col(y)).cast("long").alias("_neg")))
+    c = balanced_bins(c, g, "_s", bins)
+    sums = c.groupBy(*g, "_bin").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
     before = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*g, "_bin",
+    sums = sums.select(*g, "_bin",
                        F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_cp"),
                        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_cn"))
     inbin = Window.partitionBy(*g, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.join(bins, g + ["_bin"])
+    c = c.join(sums, g + ["_bin"])
     return c.select(*g, "_s", "_pos", "_neg",
                     (F.col("_cp") + F.coalesce(F.sum("_pos").over(inbin), F.lit(0))).alias("_lt_pos"),
                     (F.col("_cn") + F.coalesce(F.sum("_neg").over(inbin), F.lit(0))).alias("_lt_neg"))
 
 
-def rank_metrics(df: DataFrame, group, y: str, score: str, score_bins: int = 1024) -> DataFrame:
+def rank_metrics(df: DataFrame, group, y: str, score: str) -> DataFrame:
     """A11 ROC AUC and A12 average precision per group."""
     g = _g(group)
-    rc = rank_counts(df, g, y, score, score_bins)
+    rc = rank_counts(df, g, y, score)
     tot = rc.groupBy(*g).agg(F.sum("_pos").alias("_np"), F.sum("_neg").alias("_nn"))
     rc = rc.join(tot, g)
     tp = F.col("_np") - F.col("_lt_pos")
@@ -112,14 +125,13 @@ def rank_metrics(df: DataFrame, group, y: str, score: str, score_bins: int = 102
         .otherwise(F.lit(0.0)).alias("PR_AUC"))
 
 
-def prob_metrics(df: DataFrame, group, y: str = "y", p: str = "p",
-                 score_bins: int = 1024) -> DataFrame:
+def prob_metrics(df: DataFrame, group, y: str = "y", p: str = "p") -> DataFrame:
     """Probability metrics per group: MAE, MSE, Brier (A6, A7), ROC AUC, AP."""
     g = _g(group)
     e = F.col(p).cast("double") - F.col(y)
     base = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("MAE"),
                               F.avg(e * e).alias("MSE"), F.avg(e * e).alias("Brier"))
-    return base.join(rank_metrics(df.select(*g, y, p), g, y, p, score_bins), g, "left")
+    return base.join(rank_metrics(df.select(*g, y, p), g, y, p), g, "left")
 
 
 def decision_metrics(df: DataFrame, group, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -139,11 +151,10 @@ def decision_metrics(df: DataFrame, group, y: str = "y", pred: str = "pred") ->
         F.try_divide(tn, tn + fp).alias("Specificity"))
 
 
-def binary_metrics(df: DataFrame, group, y: str = "y", p: str = "p", pred: str = "pred",
-                   score_bins: int = 1024) -> DataFrame:
+def binary_metrics(df: DataFrame, group, y: str = "y", p: str = "p", pred: str = "pred") -> DataFrame:
     """All nine exceedance metrics plus confusion counts per group."""
     g = _g(group)
-    return prob_metrics(df, g, y, p, score_bins).join(decision_metrics(df, g, y, pred), g)
+    return prob_metrics(df, g, y, p).join(decision_metrics(df, g, y, pred), g)
 
 
 def metric_long(wide: DataFrame, group, metrics: Sequence[str] = METRICS) -> DataFrame:

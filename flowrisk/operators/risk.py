@@ -11,10 +11,9 @@ Definitions (documented choices; the source describes them only in prose):
     trend               = rising / falling beyond a 1-point dead band vs the previous
                           grid step, stable otherwise and on the first row
 
-``#{scores >= x}`` is a range count: scores and queries are cut into value bins, the
-counts of higher bins come from a small bin table, and inside a bin a running count
-over the union of scores and queries (scores first on ties) gives the rest.  No
-score x query pairs are formed.
+``#{scores >= x}`` is a range count: ties are collapsed, the distinct values are cut into
+balanced bins, the counts of higher bins come from a small bin table, and a running count
+inside the bin gives the rest.  No score x query pairs are formed.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowrisk.operators.metrics import balanced_bins
+
 # Fixed values of the documented choice:
 RISK_BANDS = (33.3, 66.7)
 CONFIDENCE_BANDS = (50.0, 80.0)
@@ -29,37 +30,28 @@ TREND_DEAD_BAND = 1.0
 
 
 def count_at_least(queries: DataFrame, scores: DataFrame, group, qcol: str, scol: str,
-                   out: str, qkeys, bins: int = 1024) -> DataFrame:
+                   out: str, bins: int = 128) -> DataFrame:
     """For every query row, the number of scores of its group with value >= ``qcol``.
 
-    Values are expected in [0, 1].  Level 1 (bins, at most ``bins + 1`` rows per
-    group): scores in bins above the query's bin.  Level 2 (inside one bin): running
-    count over scores and queries ordered by value, scores first on ties.
+    Scores and queries are collapsed to one row per distinct value; the values are cut
+    into balanced bins.  A value's count is that of the higher bins (small table) plus
+    the running count inside its own bin.
     """
     g = [group] if isinstance(group, str) else list(group)
-    b = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins)).cast("long")
-    qk = [c for c in ([qkeys] if isinstance(qkeys, str) else list(qkeys)) if c not in g]
-    q = queries.withColumn("_qid", F.struct(*[F.col(c) for c in qk]))   # query identity
-    s = scores.select(*g, F.col(scol).cast("double").alias("_v")).withColumn("_b", b("_v"))
-    qq = q.select(*g, "_qid", F.col(qcol).cast("double").alias("_v")).withColumn("_b", b("_v"))
-    # level 1: scores in higher bins
-    sb = s.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_q", F.lit(1))
-    qb = qq.select(*g, "_b").distinct().withColumn("_n", F.lit(0).cast("long")).withColumn("_q", F.lit(0))
-    wb = Window.partitionBy(*g).orderBy(F.col("_b").desc(), F.col("_q").asc()) \
-               .rowsBetween(Window.unboundedPreceding, -1)
-    lvl1 = sb.unionByName(qb).withColumn("_higher", F.coalesce(F.sum("_n").over(wb), F.lit(0))) \
-             .where(F.col("_q") == 0).select(*g, "_b", "_higher")
-    # level 2: scores >= x inside the query's own bin
-    u = s.select(*g, "_b", "_v", F.lit(1).alias("_is_s"),
-                 F.lit(None).cast(qq.schema["_qid"].dataType).alias("_qid")) \
-         .unionByName(qq.select(*g, "_b", "_v", F.lit(0).alias("_is_s"), "_qid"))
-    w = Window.partitionBy(*g, "_b").orderBy(F.col("_v").desc(), F.col("_is_s").desc()) \
-              .rowsBetween(Window.unboundedPreceding, 0)
-    lvl2 = u.withColumn("_c", F.sum("_is_s").over(w)).where(F.col("_is_s") == 0) \
-            .select(*g, "_b", "_qid", "_c")
-    res = lvl2.join(lvl1, g + ["_b"]).select(*g, "_qid", (F.col("_higher") + F.col("_c")).alias(out))
-    return q.join(res, g + ["_qid"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0))) \
-            .drop("_qid")
+    value = lambda c: F.col(c).cast("double").alias("_v")
+    both = (scores.select(*g, value(scol), F.lit(1).alias("_n"))
+            .unionByName(queries.select(*g, value(qcol), F.lit(0).alias("_n"))))
+    c = both.where(F.col("_v").isNotNull()).groupBy(*g, "_v").agg(F.sum("_n").alias("_n"))
+    c = balanced_bins(c, g, "_v", bins, "_b")
+    after = Window.partitionBy(*g).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    higher = c.groupBy(*g, "_b").agg(F.sum("_n").alias("_bn")).select(
+        *g, "_b", F.coalesce(F.sum("_bn").over(after), F.lit(0)).alias("_higher"))
+    inbin = (Window.partitionBy(*g, "_b").orderBy(F.col("_v").desc())
+             .rowsBetween(Window.unboundedPreceding, 0))
+    total = c.withColumn("_c", F.sum("_n").over(inbin)).join(higher, g + ["_b"]).select(
+        *g, "_v", (F.col("_higher") + F.col("_c")).alias(out))
+    return (queries.withColumn("_v", F.col(qcol).cast("double")).join(total, g + ["_v"], "left")
+            .withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_v"))
 
 
 def category(v, bands, names=("low", "moderate", "high")):

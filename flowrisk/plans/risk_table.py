@@ -54,8 +54,8 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.select(*KEYS, "time", F.coalesce("best_model", F.lit("Persistence")).alias("model"),
                  p.alias("p"))
     t = t.withColumn("one_minus_p", 1.0 - F.col("p"))
-    t = rk.count_at_least(t, cso, KEYS, "one_minus_p", "s", "cnt_cso", ["time"])
-    t = rk.count_at_least(t, safe, KEYS, "p", "s", "cnt_safe", ["time"])
+    t = rk.count_at_least(t, cso, KEYS, "one_minus_p", "s", "cnt_cso")
+    t = rk.count_at_least(t, safe, KEYS, "p", "s", "cnt_safe")
     t = t.join(n, KEYS, "left").fillna(0, ["n_cso", "n_safe"])
     t = rk.risk_columns(t)
     t = rk.trend(t, KEYS, "time", 3600)                                    # W19

@@ -94,8 +94,7 @@ def test_one_class_metrics(spark):
 def test_auc_ties_and_ap(spark):
     from flowrisk.operators.metrics import rank_metrics
     rows = [("g", 1, 0.8), ("g", 0, 0.8), ("g", 1, 0.4), ("g", 0, 0.1), ("g", 0, 0.5)]
-    r = rank_metrics(spark.createDataFrame(rows, "grp string, y int, p double"), "grp", "y", "p",
-                     score_bins=4).collect()[0]
+    r = rank_metrics(spark.createDataFrame(rows, "grp string, y int, p double"), "grp", "y", "p").collect()[0]
     # pairs: (0.8 vs 0.8)=0.5, (0.8>0.1), (0.8>0.5), (0.4>0.1), 0.4<0.8, 0.4<0.5 -> 3.5/6
     assert abs(r.ROC_AUC - 3.5 / 6) < 1e-12
     # AP: thresholds 0.8 (R=.5, P=.5), 0.4 (R=1, P=2/4) -> .5*.5 + .5*.5
