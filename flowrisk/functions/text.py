@@ -9,6 +9,7 @@ Fixed values of the report grammar (must match the reports being read):
     rain values          -?\\d+(?:\\.\\d+)?
     interim folder       ^chichester\\s+weekly\\s+report\\s*-\\s*interim\\s+([\\d,\\s&-]+)$  (any case)
     period folder        ^p(\\d+)$ ; range container ^p(\\d+)-(\\d+)$       (any case)
+    number or range      \\d+\\s*-\\s*\\d+|\\d+
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ NUMBER_RE = r"-?\d+(?:\.\d+)?"
 INTERIM_RE = r"(?i)^chichester\s+weekly\s+report\s*-\s*interim\s+([\d,\s&-]+)$"
 PERIOD_RE = r"(?i)^p(\d+)$"
 PERIOD_RANGE_RE = r"(?i)^p(\d+)-(\d+)$"
+INT_SPEC_RE = r"\d+\s*-\s*\d+|\d+"
 CHUNK = 15
 
 
@@ -66,8 +68,8 @@ def header_range(text: Column) -> tuple[Column, Column, Column]:
     s10, e10 = (F.regexp_extract(text, RANGE10_RE, i) for i in (1, 2))
     start = F.when(has12, parse_stamp(s12, 12)).when(has10, parse_stamp(s10, 10))
     end = F.when(has12, parse_stamp(e12, 12)).when(has10, parse_stamp(e10, 10))
-    iv = F.when(has12, F.regexp_extract(text, RANGE12_RE, 3).cast("int")) \
-          .when(has10, F.regexp_extract(text, RANGE10_RE, 3).cast("int"))
+    iv = F.when(has12, F.regexp_extract(text, RANGE12_RE, 3).try_cast("int")) \
+          .when(has10, F.regexp_extract(text, RANGE10_RE, 3).try_cast("int"))
     return start, end, iv
 
 
@@ -100,13 +102,13 @@ def timestamp_at(start: Column, interval_min: Column, record_idx: Column) -> Col
 def expand_int_spec(spec: Column) -> Column:
     """``1,3-5 & 7`` -> [1, 3, 4, 5, 7] in first-seen order without repeats.
     A reversed range yields NULL (the caller rejects the row)."""
-    parts = F.regexp_extract_all(spec, F.lit(r"\d+\s*-\s*\d+|\d+"), 0)
+    parts = F.regexp_extract_all(spec, F.lit(INT_SPEC_RE), 0)
 
     def one(p):
         q = F.regexp_replace(p, r"\s", "")
         a = F.split(q, "-")
-        lo = a[0].cast("int")
-        hi = F.when(F.size(a) > 1, a[1].cast("int")).otherwise(lo)
+        lo = a[0].try_cast("int")
+        hi = F.when(F.size(a) > 1, a[1].try_cast("int")).otherwise(lo)
         return F.when(hi >= lo, F.sequence(lo, hi))
 
     arrs = F.transform(parts, one)

@@ -4,8 +4,8 @@
   folder, its kind (.fdv / .r) and report ids come from the path with regexes.
 * S5: text decoding cascade without UDFs: valid UTF-8 (BOM stripped) -> windows-1252
   -> ISO-8859-1 when an undefined windows-1252 byte (81, 8D, 8F, 90, 9D) occurs.
-* S8/S9: members of ``.zip`` files are read in place by a ``mapInPandas`` generator
-  (one row per member); unreadable archives become reject rows.
+* S8/S9: a ``mapInPandas`` generator hands out the bytes of ``.zip`` members; their choice,
+  names and decoding are Column work.  Unreadable archives and folder names become reject rows.
 * C1/C2: parsing is pure Column work (``functions.text``) + ``posexplode``; a file
   without section markers becomes a reject row.
 * C3: each folder's records are replicated to every report id of its name, then
@@ -34,6 +34,8 @@ RAIN_COLS = ["gauge_id", "start_time", "end_time", "interval_min", "time", "reco
 def decode_text(content) -> F.Column:
     """Bytes -> string with the utf-8-sig / cp1252 / latin-1 cascade."""
     c = F.col(content) if isinstance(content, str) else content
+    if SparkSession.active().conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError("decoding windows-1252 needs spark.sql.legacy.javaCharsets=true in the session")
     hexs = F.hex(c)
     bom = F.startswith(hexs, F.lit("EFBBBF"))
     body = F.when(bom, F.substring(c, 4, 2147483647)).otherwise(c)
@@ -75,38 +77,54 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 _MEMBER_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("source_file", T.StringType()),
-    T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("reject_reason", T.StringType())])
+    T.StructField("folder", T.StringType()), T.StructField("report_ids", T.ArrayType(T.StringType())),
+    T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
+    T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
-def _zip_members(batches):
+def _unzip(batches):
+    """Files of each archive, as bytes; one row with the error for an unreadable archive."""
     for pdf in batches:
-        out = []
-        for path, name, content in zip(pdf["path"], pdf["source_file"], pdf["content"]):
+        for r in pdf.itertuples(index=False):
+            place = (r.folder, r.report_ids, r.source_file)
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    for m in zf.infolist():
-                        low = m.filename.lower()
-                        if m.is_dir() or not (low.endswith(".fdv") or low.endswith(".r")):
-                            continue
-                        kind = ".fdv" if low.endswith(".fdv") else ".r"
-                        text = zf.read(m).decode("utf-8", errors="replace")
-                        out.append((path, f"{name}::{m.filename}", kind, text, None))
-            except zipfile.BadZipFile as exc:
-                out.append((path, name, ".zip", None, f"bad zip: {exc}"))
-        yield pd.DataFrame(out, columns=[f.name for f in _MEMBER_SCHEMA.fields])
+                archive = zipfile.ZipFile(io.BytesIO(r.content))
+                rows = [(*place, i.filename, archive.read(i), None) for i in archive.infolist() if not i.is_dir()]
+            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:  # broken, encrypted, unknown method
+                rows = [(*place, None, None, str(e))]
+            yield pd.DataFrame(rows, columns=_MEMBER_SCHEMA.fieldNames())
 
 
 def report_texts(files: DataFrame) -> DataFrame:
-    """S5 + S8: one row per report text (plain files decoded, zip members expanded)."""
+    """S5 + S8: one row per report text (plain files decoded, zip members expanded).
+
+    Files are read once: plain reports and archives part by kind, and archives carry their
+    folder along.  A folder whose report numbers cannot be read (a reversed range) and an
+    archive that cannot be opened give a row with ``reject_reason`` and no text.
+    """
+    bad_folder = F.when(F.col("report_ids").isNull(), F.lit("unreadable report numbers in the folder name"))
     plain = files.where(F.col("kind").isin(".fdv", ".r")).select(
-        "folder", "report_ids", "source_file", "kind", decode_text("content").alias("text"),
-        F.lit(None).cast("string").alias("reject_reason"))
-    z = files.where(F.col("kind") == ".zip")
-    members = z.select("path", "source_file", "content").mapInPandas(_zip_members, _MEMBER_SCHEMA)
-    members = members.join(z.select("path", "folder", "report_ids"), "path").drop("path")
-    return plain.unionByName(members.select(*plain.columns))
+        "folder", "report_ids", "source_file", "kind", F.when(bad_folder.isNull(), decode_text("content")).alias("text"),
+        bad_folder.alias("reject_reason"))
+    members = (files.where(F.col("kind") == ".zip").select("folder", "report_ids", "source_file", "content")
+               .mapInPandas(_unzip, _MEMBER_SCHEMA))
+    kind = F.lower(F.regexp_extract("member", r"(?i)(\.fdv|\.r)$", 1))
+    members = members.where(F.col("error").isNotNull() | (kind != "")).select(
+        "folder", "report_ids",
+        F.when(F.col("member").isNull(), F.col("archive")).otherwise(F.concat_ws("::", "archive", "member")).alias("source_file"),
+        F.when(F.col("member").isNull(), F.lit(".zip")).otherwise(kind).alias("kind"),
+        F.when(bad_folder.isNull(), decode_text("content")).alias("text"),
+        F.coalesce(F.concat(F.lit("bad zip: "), "error"), bad_folder).alias("reject_reason"))
+    return plain.unionByName(members)
+
+
+def rejected(texts: DataFrame, *parse_rejects: DataFrame) -> DataFrame:
+    """One reject table: unreadable archives and folders, and texts that did not parse."""
+    out = texts.where(F.col("reject_reason").isNotNull()).select(
+        F.lit(None).cast("string").alias("report_id"), "source_file", F.col("reject_reason").alias("reason"))
+    for r in parse_rejects:
+        out = out.unionByName(r.select("report_id", "source_file", "reason"))
+    return out
 
 
 # ------------------------------------------------------------------------ parsing
@@ -128,8 +146,8 @@ def parse_flow(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "report_id", "station_id", "source_file", "start_time", "end_time", "interval_min", *extra,
         tx.timestamp_at(F.col("start_time"), F.col("interval_min"), idx).alias("time"),
         idx.alias("record_idx"),
-        F.regexp_extract("_chunk", tx.CHUNK_RE, 1).cast("int").alias("flow_l_s"),
-        F.regexp_extract("_chunk", tx.CHUNK_RE, 2).cast("int").alias("depth_mm"),
+        F.regexp_extract("_chunk", tx.CHUNK_RE, 1).try_cast("int").alias("flow_l_s"),
+        F.regexp_extract("_chunk", tx.CHUNK_RE, 2).try_cast("int").alias("depth_mm"),
         F.regexp_extract("_chunk", tx.CHUNK_RE, 3).cast("double").alias("velocity_m_s"))
     return rec, rejects
 
@@ -164,7 +182,7 @@ def replicate_and_dedup(records: DataFrame, subset: list[str]) -> DataFrame:
 
 
 def docs_for_parsing(texts: DataFrame) -> DataFrame:
-    """Report texts -> parser input: the folder's first report id labels its records."""
+    """Readable report texts -> parser input: the folder's first report id labels its records."""
     return texts.where(F.col("text").isNotNull()).withColumn("report_id", F.col("report_ids")[0])
 
 
