@@ -28,7 +28,7 @@ def ordinal(df: DataFrame, keys, order: str, bucket: Column, name: str = "row_id
     allk = Window.partitionBy(*keys)
     cnt = cnt.select(*keys, "_ob", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                      F.sum("_c").over(allk).alias("n_rows"))
-    d = d.join(cnt, keys + ["_ob"])
+    d = d.join(cnt, keys + ["_ob"])                # with no keys, positions over all rows
     w = Window.partitionBy(*keys, "_ob").orderBy(order)
     return d.withColumn(name, F.col("_off") + F.row_number().over(w) - 1).drop("_ob", "_off")
 

@@ -7,8 +7,8 @@
 * M9 / A16: mean probability of the fold models on the hold-out rows.
 * M3: gradient-boosted regressor on all features.
 * M4: permutation importance, one repeat: each feature column is replaced by the same
-  column of a seeded row permutation (a join on hash rank), all permuted copies are
-  scored in one ``transform`` and the R^2 drop is aggregated per feature (A13).
+  column of a seeded row permutation (a join on distributed hash ranks), all permuted
+  copies are scored in one ``transform`` and the R^2 drop is aggregated per feature (A13).
 
 The fold loop runs on the driver over at most ``n_splits`` fits; every fit and every
 transform is a distributed Spark job.
@@ -22,10 +22,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.functions.columns import attach_scalars, col
+from flowrisk.operators import cv
 from flowrisk.operators.metrics import positive_weight
 
 
@@ -107,20 +108,24 @@ def r2(df: DataFrame, group: Sequence[str], y: str, p: str) -> DataFrame:
 
 
 def permutation_importance(model, data: DataFrame, features: Sequence[str], label: str,
-                           seed: int = 42) -> DataFrame:
+                           row_keys: Sequence[str], seed: int = 42) -> DataFrame:
     """M4: R^2 drop when one feature column is replaced by a seeded permutation of it.
 
-    ``data`` is the bounded validation sample (``select.seeded_sample``, at most
-    ``sample_size`` rows), so the two ordinal windows below stay small.
+    ``row_keys`` identify a row.  Every row is scored.  The permutation pairs the i-th row
+    in one seeded hash order with the i-th in another; both ranks come from counts per hash
+    range (``cv.ordinal``), so no task orders all rows.
     """
     feats = list(features)
-    d = data.withColumn("_rid", F.monotonically_increasing_id())
-    # seeded permutation: the i-th row by id takes the values of the i-th row by hash
-    by_id = d.withColumn("_pos", F.row_number().over(Window.orderBy("_rid")))
-    by_hash = d.select(*[col(f).alias(f"_perm_{f}") for f in feats],
-                       F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "_rid"), "_rid"))
-                       .alias("_pos"))
-    j = by_id.join(by_hash, "_pos")
+
+    def ranked(s: int, df: DataFrame) -> DataFrame:
+        order = F.struct(F.xxhash64(F.lit(s), *row_keys), *row_keys)
+        d = df.withColumn("_order", order)
+        return cv.ordinal(d, [], "_order", F.shiftright(F.xxhash64(F.lit(s), *row_keys), 52), "_pos") \
+            .drop("_order", "n_rows")
+
+    by_row = ranked(seed, data)
+    other = ranked(seed + 1, data).select("_pos", *[col(f).alias(f"_perm_{f}") for f in feats])
+    j = by_row.join(other, "_pos")
     base = F.array(F.struct(F.lit("__none__").alias("feature"),
                             *[col(f).alias(f) for f in feats]))
     perm = [F.struct(F.lit(f).alias("feature"),
@@ -133,7 +138,3 @@ def permutation_importance(model, data: DataFrame, features: Sequence[str], labe
     ref = s.where(F.col("feature") == "__none__").select(F.col("r2").alias("_ref"))
     return attach_scalars(s.where(F.col("feature") != "__none__"), ref) \
         .select("feature", (F.col("_ref") - F.col("r2")).alias("importance"))
-
-
-__all__ = ["assemble", "fit_fold_models", "out_of_fold", "ensemble_predict", "fit_regressor",
-           "permutation_importance", "r2", "positive_weight"]

@@ -211,3 +211,15 @@ def gridpoint_sparse_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I2 on several files in reverse time order, then corrections of every reading."""
     return stq.replay_out_of_order(spark, sf_dir)
+
+
+@register("permutation_fold_rows", slq.PERMUTATION_ROWS_SQL)
+def permutation_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the importance fit trains on and scores, per fold."""
+    return slq.permutation_rows(spark, sf_dir)
+
+
+@register("seeded_sample", slq.SAMPLED_SQL)
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: 20,000 lines chosen by a seeded hash."""
+    return slq.sampled_lines(spark, sf_dir)

@@ -220,11 +220,9 @@ FROM best"""
 SELECTED_SQL = SELECTED_SQL.replace("WITH li AS", "WITH RECURSIVE li AS", 1)
 
 
-def permutation(spark: SparkSession, sf_dir: str, sample_size: int = 20000,
-                max_iter: int = 20) -> DataFrame:
-    """M3 + M4 + T5: regressor on the last forward fold (k = 3) of lineitem ordered by
-    ship date, permutation importance on a seeded sample of its validation rows."""
-    from flowrisk.operators import models as ml
+def _ordered_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete lineitem feature rows with their global position by ship date (ties by the
+    line's key); the ordering is dealt by day and order-key range, never in one task."""
     li = table(spark, sf_dir, "lineitem")
     df = li.select("l_orderkey", "l_linenumber", "l_shipdate", *[F.col(c) for c in
                    ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
@@ -234,13 +232,53 @@ def permutation(spark: SparkSession, sf_dir: str, sample_size: int = 20000,
                    (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
                    (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
                    .alias("charge")).dropna()
-    df = df.withColumn("_all", F.lit(1))
-    df = cv.ordinal(df, "_all", "l_shipdate", F.date_trunc("month", "l_shipdate"))
-    df = df.withColumn("n_train", F.col("n_rows"))
-    roles = cv.fold_roles(df, 3).where(F.col("fold") == 3)
+    df = df.withColumn("_order", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
+    block = F.struct("l_shipdate", F.floor(F.col("l_orderkey") / (1 << 16)).alias("range"))
+    return cv.ordinal(df, [], "_order", block).drop("_order").withColumn("n_train", F.col("n_rows"))
+
+
+def permutation(spark: SparkSession, sf_dir: str, max_iter: int = 20) -> DataFrame:
+    """M3 + M4: regressor on the last forward fold (k = 3) of lineitem ordered by ship
+    date; permutation importance on all of its validation rows."""
+    from flowrisk.operators import models as ml
+    roles = cv.fold_roles(stage(_ordered_lineitem(spark, sf_dir), "lineitem-order"), 3).where(F.col("fold") == 3)
     train = roles.where(F.col("role") == "train")
     val = roles.where(F.col("role") == "val")
     model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter)
-    sample = sel.seeded_sample(val, sample_size, 42, ["l_orderkey", "l_linenumber"])
-    imp = ml.permutation_importance(model, sample, LINEITEM_FEATURES, "charge", seed=42)
+    imp = ml.permutation_importance(model, val, LINEITEM_FEATURES, "charge", ["l_orderkey", "l_linenumber"], seed=42)
     return imp.select("feature", rnd("importance", 6).alias("importance"))
+
+
+def permutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows around the fit of ``permutation``: size and span of every fold and role."""
+    roles = cv.fold_roles(stage(_ordered_lineitem(spark, sf_dir), "lineitem-order"), 3)
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return roles.groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"),
+        F.min("l_shipdate").alias("first_day"), F.max("l_shipdate").alias("last_day"), cents.alias("price_cents"))
+
+
+PERMUTATION_ROWS_SQL = """
+WITH o AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS row_idx,
+                  count(*) OVER () AS n FROM lineitem WHERE l_quantity <> 0),
+r AS (SELECT o.*, CAST(f AS INTEGER) AS fold, n // 4 AS ts,
+             CASE WHEN row_idx < n - (4 - f) * (n // 4) THEN 'train'
+                  WHEN row_idx < n - (3 - f) * (n // 4) THEN 'val' END AS role
+      FROM o CROSS JOIN range(1, 4) t(f))
+SELECT fold, role, count(*) AS n, min(row_idx) AS first_idx, max(row_idx) AS last_idx,
+       min(l_shipdate) AS first_day, max(l_shipdate) AS last_day,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS price_cents
+FROM r WHERE role IS NOT NULL GROUP BY 1, 2
+"""
+
+
+def sampled_lines(spark: SparkSession, sf_dir: str, n: int = 20_000) -> DataFrame:
+    """T5: the seeded sampling operator on all of lineitem."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sel.seeded_sample(li, n, 42, ["l_orderkey", "l_linenumber"])
+
+
+SAMPLED_SQL = """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT 20000
+"""
