@@ -47,6 +47,31 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 AT_ONCE = 4 << 20
 
 
+class Memo(dict):
+    """Results of a function by its (text) argument, bounded: two generations of entries.
+
+    When the younger one is full it becomes the elder, so what is still in use stays known.
+    Long arguments are not kept.
+    """
+
+    MOST, LONGEST = 700_000, 40
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.elder = make, {}
+
+    def __missing__(self, key: str):
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.elder = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def in_pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes add up to at most ``most`` (or hold one item)."""
     start, total = 0, 0

@@ -11,7 +11,7 @@ so no length, however common, meets in one task.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -23,31 +23,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrisk.llm.common import partitions, texts
-from flowrisk.llm.counts import MEMO, MEMO_CHARS, read_spec
+from flowrisk.llm.common import Memo, partitions, texts
+from flowrisk.llm.counts import read_spec
 from flowrisk.session import stage
 
-#: White space that the word tokenizer drops, so that words encode by themselves.
-WORDS = re.compile("[^ \t\n\r]+").findall
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; a bounded memo."""
+    The word tokenizer drops white space, so words encode by themselves; each worker keeps a
+    bounded memo of them.  It also lower-cases, and parts a full stop or comma from a letter
+    before it: such words are put together from the memo.  Words of lower-case ASCII letters
+    are one pre-token and unchanged by the normaliser, so they go straight to the BPE model.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_str(spec)
-
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = packed
-        return packed
+        self.merge = self.model.model.tokenize
+        self.memo = Memo(self.of_word)
+        self.memo[""] = b""
+
+    def of_word(self, word: str) -> bytes:
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return self.memo[word[:-1]] + self.memo[word[-1]]
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            if low != word:
+                return self.memo[low]
+            ids = [t.id for t in self.merge(word)]
+        else:
+            ids = self.model.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, WORDS(text)))
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.memo.__getitem__, words))
 
 
 _WORD_IDS: dict[str, WordIds] = {}
