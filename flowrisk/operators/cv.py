@@ -64,6 +64,43 @@ def fold_roles(df: DataFrame, n_splits: int, idx: str = "row_idx", n: str = "n_t
     return tr.unionByName(va)
 
 
+def _fold_bounds(k: int, fold: Column, n: str) -> tuple[Column, Column, Column]:
+    ts = F.floor(F.col(n) / F.lit(k + 1)).cast("long")
+    return F.col(n) - (k - fold + 1) * ts, F.col(n) - (k - fold) * ts, ts
+
+
+def fold_part(df: DataFrame, n_splits: int, fold: int, role: str, idx: str = "row_idx",
+              n: str = "n_train") -> DataFrame:
+    """M2: the training ('train') or validation ('val') rows of one forward fold, as a range
+    of ordinals; nothing is copied."""
+    start, end, ts = _fold_bounds(n_splits, F.lit(fold), n)
+    part = F.col(idx) < start if role == "train" else (F.col(idx) >= start) & (F.col(idx) < end)
+    return df.where((ts > 0) & part)
+
+
+def fold_counts(df: DataFrame, keys, n_splits: int, label: str = "y", idx: str = "row_idx",
+                n: str = "n_train") -> DataFrame:
+    """Per key and fold: ``n_train_rows``, ``n_pos``, ``n_neg`` and ``n_val`` (zeros included).
+
+    One pass: rows are counted per key and block (the block that they validate, 0 before
+    the first), and a fold trains on the blocks before its own.
+    """
+    keys = _k(keys)
+    ts = F.floor(F.col(n) / F.lit(n_splits + 1)).cast("long")
+    first = F.col(n) - F.lit(n_splits) * ts
+    block = F.when(F.col(idx) < first, F.lit(0)).otherwise(F.floor((F.col(idx) - first) / ts).cast("int") + 1)
+    blocks = df.where((F.col(idx) < F.col(n)) & (ts > 0)).groupBy(*keys, block.alias("block")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("pos"))
+    fold = F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("fold")
+    each = blocks.select(*keys, "block", "rows", "pos", fold)
+    before = F.col("block") < F.col("fold")
+    total = lambda c: F.sum(F.when(before, F.col(c)).otherwise(0)).cast("long")
+    out = each.groupBy(*keys, "fold").agg(
+        total("rows").alias("n_train_rows"), total("pos").alias("n_pos"),
+        F.sum(F.when(F.col("block") == F.col("fold"), F.col("rows")).otherwise(0)).cast("long").alias("n_val"))
+    return out.withColumn("n_neg", F.col("n_train_rows") - F.col("n_pos"))
+
+
 def ensemble_mean(pred: DataFrame, row_keys, p: str = "p", name: str = "p_ens") -> DataFrame:
     """Mean probability over the fold models for each row."""
     return pred.groupBy(*_k(row_keys)).agg(F.avg(p).alias(name), F.count(p).alias("n_models"))

@@ -1,10 +1,11 @@
 """Distributed model fitting with MLlib.
 
-* M7: one weighted gradient-boosted classifier per forward fold (``fold_roles``),
-  positive weight ``max(neg,1)/max(pos,1)`` of that fold's training rows (A5), seed
-  ``seed + fold``; folds whose training rows hold one class are skipped.
+* M7: one weighted gradient-boosted classifier per forward fold, pooled over the keys with
+  the key among the features; positive weight ``max(neg,1)/max(pos,1)`` of the key's
+  training rows in the fold (A5), seed ``seed + fold``; a fold whose training rows hold one
+  class of a key is skipped for that key.
 * M8: out-of-fold probability of every training row (NULL where no fold covers it).
-* M9 / A16: mean probability of the fold models on the hold-out rows.
+* M9 / A16: mean probability of the usable fold models on the hold-out rows.
 * M3: gradient-boosted regressor on all features.
 * M4: permutation importance, one repeat: each feature column is replaced by the same
   column of a seeded row permutation (a join on distributed hash ranks), all permuted
@@ -39,58 +40,63 @@ def _prob(df: DataFrame, name: str = "p") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1])
 
 
-def fit_fold_models(roles: DataFrame, features: Sequence[str], n_splits: int, seed: int = 42,
-                    max_iter: int = 30, max_depth: int = 5, label: str = "y") -> dict:
-    """M7: {fold: model} for folds with both classes in their training rows."""
+def fold_weights(df: DataFrame, key: str, n_splits: int, label: str = "y") -> DataFrame:
+    """M7 + A5: per (key, fold) the class counts, ``weight`` of a positive row and ``usable``
+    (both classes are there; a fold without them is skipped for that key)."""
+    c = cv.fold_counts(df, key, n_splits, label)
+    return c.withColumn("weight", positive_weight(F.col("n_pos"), F.col("n_neg"))) \
+            .withColumn("usable", (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+
+
+def _usable(df: DataFrame, weights: DataFrame, key: str, fold: int) -> DataFrame:
+    """Rows of the keys for which the fold is usable, with their positive weight."""
+    w = weights.where((F.col("fold") == fold) & F.col("usable")).select(key, "weight")
+    return df.join(w, key)
+
+
+def fit_fold_models(df: DataFrame, weights: DataFrame, key: str, features: Sequence[str],
+                    n_splits: int, seed: int = 42, max_iter: int = 500, max_depth: int = 6,
+                    label: str = "y") -> dict:
+    """M7: {fold: model}, each fitted on the fold's training rows of all usable keys.
+
+    One pooled model per fold; the key is among the features, and every row is weighted by
+    its own key's classes.  A fold that no key can use has no model.
+    """
+    used = {r["fold"] for r in weights.where("usable").select("fold").distinct().collect()}
     models = {}
-    tr_all = assemble(roles.where(F.col("role") == "train"), features)
-    stats = {r["fold"]: (r["pos"], r["neg"]) for r in
-             tr_all.groupBy("fold").agg(F.sum(label).alias("pos"),
-                                        F.sum(1 - F.col(label)).alias("neg")).collect()}
-    for fold in range(1, n_splits + 1):
-        pos, neg = stats.get(fold, (0, 0))
-        if not pos or not neg:
-            continue                                   # one class: skipped
-        w = float(max(neg, 1)) / float(max(pos, 1))     # A5, per fold
-        tr = tr_all.where(F.col("fold") == fold).withColumn(
-            "w", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
+    for fold in sorted(used):
+        tr = assemble(_usable(cv.fold_part(df, n_splits, fold, "train"), weights, key, fold), features)
+        tr = tr.withColumn("w", F.when(F.col(label) == 1, F.col("weight")).otherwise(F.lit(1.0)))
         gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="w",
                             maxIter=max_iter, maxDepth=max_depth, subsamplingRate=0.8,
                             featureSubsetStrategy="0.8", stepSize=0.1, seed=seed + fold)
-        models[fold] = gbt.fit(tr)
+        models[fold] = gbt.fit(tr.select("features", label, "w"))
     return models
 
 
-def out_of_fold(roles: DataFrame, models: dict, features: Sequence[str],
-                row_keys: Sequence[str]) -> DataFrame:
+def out_of_fold(df: DataFrame, weights: DataFrame, models: dict, key: str, features: Sequence[str],
+                n_splits: int, row_keys: Sequence[str]) -> DataFrame:
     """M8: probability of each validation row from the model of its fold."""
-    val = assemble(roles.where(F.col("role") == "val"), features)
-    parts = [_prob(m.transform(val.where(F.col("fold") == f))).select(*row_keys, "p")
-             for f, m in models.items()]
-    if not parts:
-        return roles.sparkSession.createDataFrame([], roles.select(*row_keys).schema.add("p", "double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = df.sparkSession.createDataFrame([], df.select(*row_keys).schema.add("p", "double"))
+    for fold, m in models.items():
+        val = assemble(_usable(cv.fold_part(df, n_splits, fold, "val"), weights, key, fold), features)
+        out = out.unionByName(_prob(m.transform(val)).select(*row_keys, "p"))
     return out
 
 
-def ensemble_predict(test: DataFrame, models: dict, features: Sequence[str],
-                     row_keys: Sequence[str]) -> DataFrame:
-    """M9: mean fold-model probability per hold-out row (``p_ens``, ``n_models``)."""
-    t = assemble(test, features)
-    parts = [_prob(m.transform(t)).select(*row_keys, "p") for m in models.values()]
-    if not parts:
-        return test.select(*row_keys).withColumn("p_ens", F.lit(None).cast("double")) \
-                   .withColumn("n_models", F.lit(0).cast("long"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(*row_keys).agg(F.avg("p").alias("p_ens"), F.count("p").alias("n_models"))
+def ensemble_predict(test: DataFrame, weights: DataFrame, models: dict, key: str,
+                     features: Sequence[str], row_keys: Sequence[str]) -> DataFrame:
+    """Mean probability of the fold models that are usable for the row's key
+    (``p_ens``, ``n_models``); keys without a usable fold have no row."""
+    out = test.sparkSession.createDataFrame([], test.select(*row_keys).schema.add("p", "double"))
+    for fold, m in models.items():
+        out = out.unionByName(_prob(m.transform(assemble(_usable(test, weights, key, fold), features)))
+                              .select(*row_keys, "p"))
+    return cv.ensemble_mean(out, row_keys)
 
 
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, seed: int = 42,
-                  max_iter: int = 30, max_depth: int = 5):
+                  max_iter: int = 500, max_depth: int = 6):
     """M3: gradient-boosted regressor on all features."""
     gbt = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter,
                        maxDepth=max_depth, subsamplingRate=0.8, featureSubsetStrategy="0.8",

@@ -37,6 +37,7 @@ STEP_S = FREQ_MIN * 60
 HORIZON_H = 6
 GAP_LIMIT = rows(24 * 7, FREQ_MIN)
 C = Cols()
+STRETCH_FROM = "2024-01-01 00:00:00"
 
 
 def _slot(col: str, seconds: int):
@@ -79,9 +80,22 @@ def readings(ev: DataFrame, value: F.Column, seconds: int, name: str,
     return src.groupBy(_slot("ts", seconds).alias("time")).agg(value.alias(name))
 
 
+def stretched(ev: DataFrame, factor: int) -> DataFrame:
+    """Events with the time since ``STRETCH_FROM`` multiplied, for long windows on a short table."""
+    if factor == 1:
+        return ev
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = F.unix_micros(F.lit(STRETCH_FROM).cast("timestamp"))
+    return ev.withColumn("ts", F.timestamp_micros(start + (micros - start) * factor).cast("timestamp_ntz"))
+
+
 def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
-          bucket_rows: int = 1 << 16, fit: bool = True) -> tuple[DataFrame, list[Feat]]:
-    ev = table(spark, sf_dir, "events").select("ts", KEY, "value", "props")
+          bucket_rows: int = 1 << 16, fit: bool = True, stretch: int = 1,
+          dry: bool = False) -> tuple[DataFrame, list[Feat]]:
+    """The 10-minute panel with all features.  ``stretch`` lengthens the event history;
+    ``dry`` adds a dry-weather flow of 1 to every slot and a velocity of 0 to those without
+    events, so that complete rows exist wherever the windows are full."""
+    ev = stretched(table(spark, sf_dir, "events").select("ts", KEY, "value", "props"), stretch)
     feats = catalogue(horizon_hours, FREQ_MIN, c=C)
     lb, la = halo_of(feats)
     halo = HaloSpec(bucket_rows, lb, la)
@@ -90,6 +104,8 @@ def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
     lay = regular_grid(obs, KEY, "time", STEP_S, halo)
     lay = lay.withColumns({C.depth: F.coalesce(C.depth, F.lit(0)).cast("long"),
                            C.flow: F.coalesce(C.flow, F.lit(0)).cast("long")})
+    if dry:
+        lay = lay.withColumns({C.velocity: F.coalesce(C.velocity, F.lit(0.0)), C.flow: F.col(C.flow) + 1})
     cap = obs.groupBy(KEY).agg(F.max(C.depth).alias("_cap"))
     # one global series (bounded by the time span): staged so its own grid / cumsum
     # sub-plan is not repeated inside every branch of the panel plan
@@ -105,8 +121,13 @@ def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
     return compute_features(lay, KEY, feats, FREQ_MIN / 60.0, keep=keep), feats
 
 
+#: Variances and products are large numbers whose last digits depend on the order of
+#: summation: they are checked as whole numbers, away from the ties of short decimals.
+WHOLE, OFF_TIES = ("trail_var", "fwd_var", "product"), 0.1234
+
+
 def _digits(f: Feat) -> int:
-    return 4 if f.op in ("trail_std", "trail_var", "fwd_var") else 6
+    return {"trail_std": 4}.get(f.op, 6)
 
 
 def feature_table(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
@@ -122,6 +143,8 @@ def feature_table(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
         seen.add(f.name)
         if f.op in ("flag_gt", "gt_quantile") or f.name == "day_of_week":
             out.append(col(f.name).cast("int").alias(f.name))
+        elif f.op in WHOLE:
+            out.append(F.round(col(f.name) + F.lit(OFF_TIES), 0).alias(f.name))
         else:
             out.append(rnd(f.name, _digits(f)).alias(f.name))
     return p.select(*out)
@@ -139,7 +162,8 @@ def feature_summary(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- oracle
-def _oracle_panel_sql(horizon_hours: float = HORIZON_H) -> tuple[str, list[Feat]]:
+def _oracle_panel_sql(horizon_hours: float = HORIZON_H, stretch: int = 1,
+                      dry: bool = False) -> tuple[str, list[Feat]]:
     feats = catalogue(horizon_hours, FREQ_MIN, c=C)
     step_h = FREQ_MIN / 60.0
     layer1 = [f for f in feats if f.op not in ("product", "flag_gt", "expr")]
@@ -170,8 +194,10 @@ def _oracle_panel_sql(horizon_hours: float = HORIZON_H) -> tuple[str, list[Feat]
             f"CASE WHEN {c} IS NULL AND _p_{c} IS NOT NULL AND _n_{c} IS NOT NULL "
             f"AND rn - _p_{c}.r <= {gap} THEN _p_{c}.v + (_n_{c}.v - _p_{c}.v) * "
             f"(rn - _p_{c}.r) / (_n_{c}.r - _p_{c}.r) ELSE {c} END AS {c}")
+    velocity = "coalesce(o.velocity_m_s, 0.0)" if dry else "o.velocity_m_s"
     sql = f"""
-WITH ev AS (SELECT ts, event_type, value, props FROM events),
+WITH ev AS (SELECT TIMESTAMP '{STRETCH_FROM}' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '{STRETCH_FROM}'))
+                   * {stretch}) AS ts, event_type, value, props FROM events),
 obs0 AS (
   SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS time,
          CAST(sum(round(value * 100)) AS BIGINT) AS depth_mm,
@@ -198,8 +224,8 @@ grnd AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) AS time,
 p0 AS (
   SELECT g.event_type, g.time,
          CAST(epoch(g.time - g.t0) / {STEP_S} AS BIGINT) AS rn,
-         coalesce(o.depth_mm, 0) AS depth_mm, coalesce(o.flow_l_s, 0) AS flow_l_s,
-         o.velocity_m_s, coalesce(o.depth_mm, 0) / g.cap AS fill_ratio,
+         coalesce(o.depth_mm, 0) AS depth_mm, coalesce(o.flow_l_s, 0) + {int(dry)} AS flow_l_s,
+         {velocity} AS velocity_m_s, coalesce(o.depth_mm, 0) / g.cap AS fill_ratio,
          fc.precipitation_surface, fc.precipitation_surface_cum, rain.rain_hde, grnd.grnd_hde
   FROM grid g
   LEFT JOIN obs o ON o.event_type = g.event_type AND o.time = g.time
@@ -227,6 +253,8 @@ def feature_table_sql() -> str:
         seen.add(f.name)
         if f.op in ("flag_gt", "gt_quantile") or f.name == "day_of_week":
             out.append(f'CAST("{f.name}" AS INTEGER) AS "{f.name}"')
+        elif f.op in WHOLE:
+            out.append(f'round(CAST("{f.name}" AS DOUBLE) + {OFF_TIES}, 0) AS "{f.name}"')
         else:
             out.append(f'round(CAST("{f.name}" AS DOUBLE), {_digits(f)}) AS "{f.name}"')
     return sql + "SELECT " + ", ".join(out) + " FROM f2"

@@ -31,9 +31,9 @@ def feature_catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ef.feature_summary(spark, sf_dir)
 
 
-@register("feature_catalogue")
+@register("feature_catalogue", ef.feature_table_sql())
 def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every grid row with all features (values checked with a tolerance in tests)."""
+    """Every grid row with the target and all 78 features."""
     return ef.feature_table(spark, sf_dir)
 
 
@@ -223,3 +223,15 @@ def permutation_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: 20,000 lines chosen by a seeded hash."""
     return slq.sampled_lines(spark, sf_dir)
+
+
+@register("training_folds", trq.training_folds_sql())
+def training_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A5, M1, M2, M7: rows, classes and weights of every station's folds."""
+    return trq.training_folds(spark, sf_dir)
+
+
+@register("horizon_targets", trq.horizon_targets_sql())
+def horizon_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of all five horizons, 1 to 720 hours, on the 10-minute grid."""
+    return trq.horizon_targets(spark, sf_dir)
