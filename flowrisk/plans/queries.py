@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowrisk.plans import artifacts as arq
 from flowrisk.plans import event_features as ef
 from flowrisk.plans import event_panel as ep
 from flowrisk.plans import evaluation as evq
@@ -235,3 +236,21 @@ def training_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def horizon_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of all five horizons, 1 to 720 hours, on the 10-minute grid."""
     return trq.horizon_targets(spark, sf_dir)
+
+
+@register("report_tables", arq.REPORT_TABLES_SQL)
+def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5, S8-S10, S19, C1, C3, D3, U1: report files to partitioned tables and back."""
+    return arq.report_tables(spark, sf_dir)
+
+
+@register("envelope_readings", arq.ENVELOPE_SQL)
+def envelope_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON reading envelopes, first reading per hour, exogenous join."""
+    return arq.envelope_readings(spark, sf_dir)
+
+
+@register("artifact_tables", arq.ARTIFACT_SQL)
+def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts written and read back."""
+    return arq.artifact_tables(spark, sf_dir)

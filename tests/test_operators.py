@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -214,3 +216,65 @@ def test_report_folders_zip_and_dedup(spark, tmp_path):
                                     "time", "record_idx", "flow_l_s", "depth_mm", "velocity_m_s"])
     got = ded.collect()
     assert len(got) == 3 and {r.source_file for r in got} == {"A.FDV"}
+
+
+def test_components_of_a_long_chain(spark):
+    from flowrisk.operators.select import connected_components
+    n = 70
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(n + 1)], "feature string")
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(1, n)], "a string, b string")
+    got = {r["feature"]: r["group"] for r in connected_components(spark, nodes, edges).collect()}
+    assert got.pop("n000") == "n000" and set(got.values()) == {"n001"} and len(got) == n
+
+
+@pytest.mark.parametrize("axis,x,expected", [
+    ([0.0, 2.5, 5.0], 7.4, 5.0), ([-1.01, 1.99], 0.05, -1.01), ([-1.01, 1.99], -50.0, -1.01),
+    ([0.0, 100.0], 50.0, 0.0), ([0.0, 100.0], 50.1, 100.0), ([3.0], 3.0, 3.0)])
+def test_nearest_axis_of_any_spacing(spark, axis, x, expected):
+    from flowrisk.operators.gridpoint import nearest_axis
+    points = spark.createDataFrame([(1, x)], "point int, lat double")
+    axes = spark.createDataFrame([(v,) for v in axis], "value double")
+    assert [tuple(r) for r in nearest_axis(points, axes, "lat", "latitude").collect()] == [(1, expected)]
+
+
+def test_scores_near_zero_spread_over_bins(spark):
+    """99 of 100 scores within one thousandth: no bin of distinct scores is much larger."""
+    from flowrisk.operators.metrics import balanced_bins
+    df = spark.range(20_000).selectExpr("'g' AS grp", "CASE WHEN id % 100 = 0 THEN id / 20000.0 ELSE id / 2e7 END AS s")
+    sizes = [r["n"] for r in balanced_bins(df.distinct(), "grp", "s").groupBy("_bin").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 100 and max(sizes) < 3 * 20_000 / 128
+
+
+def test_count_at_least_with_ties(spark):
+    from flowrisk.operators.risk import count_at_least
+    q = spark.createDataFrame([("g", i, v) for i, v in enumerate([0.0, 0.5, 0.5, 1.0, None])], "g string, i int, x double")
+    s = spark.createDataFrame([("g", v) for v in [0.0, 0.5, 0.5, 0.5, 0.9, 1.0, 1.0]], "g string, v double")
+    got = {r["i"]: r["n"] for r in count_at_least(q, s, "g", "x", "v", "n").collect()}
+    assert got == {0: 7, 1: 6, 2: 6, 3: 2, 4: 0}
+
+
+def test_fold_counts_match_fold_rows(spark):
+    from flowrisk.operators import cv
+    df = spark.range(53).selectExpr("'a' AS k", "id AS row_idx", "47L AS n_train", "CAST(id % 5 = 0 AS INT) AS y")
+    got = {(r["fold"]): (r["n_train_rows"], r["n_pos"], r["n_val"]) for r in cv.fold_counts(df, "k", 5).collect()}
+    for fold in range(1, 6):
+        train, val = (cv.fold_part(df, 5, fold, role) for role in ("train", "val"))
+        assert got[fold] == (train.count(), train.where("y = 1").count(), val.count())
+
+
+def test_unreadable_folders_become_rejects(spark):
+    from flowrisk.sources import reports as rp
+    rows = [("chichester weekly report - interim 9-3", "a.fdv", ".fdv", bytearray(b"text")),
+            ("p4", "b.fdv", ".fdv", bytearray(b"no markers")), ("p4", "c.zip", ".zip", bytearray(b"broken"))]
+    files = spark.createDataFrame(rows, "folder string, source_file string, kind string, content binary")
+    texts = rp.report_texts(files.withColumn("report_ids", rp.folder_report_ids(F.col("folder"))))
+    _, bad = rp.parse_flow(rp.docs_for_parsing(texts))
+    reasons = {r["source_file"]: r["reason"] for r in rp.rejected(texts, bad).collect()}
+    assert set(reasons) == {"a.fdv", "b.fdv", "c.zip"} and reasons["c.zip"].startswith("bad zip")
+
+
+def test_training_fits_every_station(spark):
+    """Every station of the panel has a usable fold, so that models are fitted and scored."""
+    from flowrisk.plans.training import training_folds
+    rows = training_folds(spark, SF).where("usable").select("event_type").distinct().collect()
+    assert len(rows) == 5
