@@ -108,12 +108,13 @@ def first_with_data(candidates: DataFrame, available: DataFrame, target: str, ca
 def incremental_upsert(history: DataFrame, batch: DataFrame, keys, time: str,
                        arrival: str = "_arrival") -> DataFrame:
     """I1 + U2 + D4: rows of ``batch`` newer than the stored maximum of their key are
-    appended; then one row per (key, time) is kept, the latest arrival winning."""
+    appended; then one row per (key, time) is kept, the latest arrival winning (rows that
+    arrive together: the one with the largest values, so that the result is fixed)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     last = history.groupBy(*keys).agg(F.max(time).alias("_last"))
     fresh = batch.join(last, keys, "left").where(
         F.col("_last").isNull() | (F.col(time) > F.col("_last"))).drop("_last")
     u = history.withColumn(arrival, F.lit(0)).unionByName(fresh.withColumn(arrival, F.lit(1)))
     others = [c for c in u.columns if c not in keys and c not in (time, arrival)]
-    g = u.groupBy(*keys, time).agg(F.max_by(F.struct(*others), F.col(arrival)).alias("_r"))
+    g = u.groupBy(*keys, time).agg(F.max(F.struct(arrival, *others)).alias("_r"))
     return g.select(*keys, time, *[F.col("_r." + c).alias(c) for c in others])

@@ -133,6 +133,7 @@ def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_run_metadata(best.withColumn("alpha", F.lit(0.1)), f"{root}/runs")
     sinks.write_best_model_table(best, f"{root}/best", evq.HORIZONS)
     sinks.write_predictions(risk.select("station_id", "horizon_hours", "time", "risk_percent", "model"), f"{root}/risk")
+    sinks.write_station_info(best.groupBy("station_id").agg(F.count(F.lit(1)).alias("horizons")), f"{root}/stations")
     keys = ["station_id", "horizon_hours"]
     name = lambda n: F.lit(n).alias("artifact")
     kinds = "section string, metric string, Persistence double, EnsembleClassifier double, " \
@@ -152,7 +153,9 @@ def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sinks.read_predictions(spark, f"{root}/risk").groupBy(*keys).agg(
         name("risk"), F.count(F.lit(1)).alias("n"), rnd(F.sum("risk_percent"), 4).alias("total"),
         F.max("model").alias("model"))
-    out = m.unionByName(runs).unionByName(t).unionByName(p)
+    info = spark.read.schema("horizons long, station_id string").json(f"{root}/stations").select(
+        "station_id", name("station"), F.col("horizons").alias("n"))
+    out = m.unionByName(runs).unionByName(t).unionByName(p).unionByName(info, allowMissingColumns=True)   # U1
     return out.withColumn("horizon_hours", F.col("horizon_hours").cast("int")).orderBy("artifact", *keys)   # T7
 
 
@@ -167,4 +170,5 @@ UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'run', 1, 0.1, best
 UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'best', 1, NULL, best_model FROM best
 UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'risk', count(*), round(sum(risk_percent), 4), max(model)
 FROM tests GROUP BY 1, 2
+UNION ALL SELECT station_id, NULL, 'station', count(*), NULL, NULL FROM best GROUP BY 1
 """

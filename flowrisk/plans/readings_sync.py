@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.functions.columns import rnd
+from flowrisk.functions.columns import attach_scalars, rnd
 from flowrisk.operators import readings as rd
 from flowrisk.sources.tables import table
 
@@ -65,9 +65,13 @@ def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         "event_type", "ts", "value", F.get_json_object("props", "$.k").alias("valueQualifier"))
-    hist = ev.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    batch = ev.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) \
-              .withColumn("value", F.col("value") + 1.0)
+    # history: the first two thirds of the time span; batch: its second half
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = attach_scalars(ev.withColumn("_at", at), ev.agg(F.min(at).alias("_t0"), F.max(at).alias("_t1")))
+    span = F.col("_t1") - F.col("_t0")
+    drop = ["_at", "_t0", "_t1"]
+    hist = ev.where((F.col("_at") - F.col("_t0")) * 3 < span * 2).drop(*drop)
+    batch = ev.where((F.col("_at") - F.col("_t0")) * 2 >= span).withColumn("value", F.col("value") + 1.0).drop(*drop)
     m = rd.incremental_upsert(hist, batch, "event_type", "ts")
     return m.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"),
                                        rnd(F.sum("value"), 4).alias("value_sum"),
@@ -108,14 +112,15 @@ FROM f JOIN r ON r.target = f.target AND r.station_id = f.chosen JOIN n ON n.tar
 
 UPSERT_SQL = """
 WITH ev AS (SELECT event_type, ts, value, json_extract_string(props, '$.k') AS valueQualifier FROM events),
-hist AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-20'),
-batch AS (SELECT event_type, ts, value + 1.0 AS value, valueQualifier FROM ev
-          WHERE ts >= TIMESTAMP '2024-01-15'),
+span AS (SELECT epoch_us(min(ts)) AS t0, epoch_us(max(ts)) - epoch_us(min(ts)) AS d FROM events),
+hist AS (SELECT ev.* FROM ev, span WHERE (epoch_us(ts) - t0) * 3 < d * 2),
+batch AS (SELECT event_type, ts, value + 1.0 AS value, valueQualifier FROM ev, span
+          WHERE (epoch_us(ts) - t0) * 2 >= d),
 last AS (SELECT event_type, max(ts) AS l FROM hist GROUP BY 1),
 fresh AS (SELECT b.* FROM batch b LEFT JOIN last ON last.event_type = b.event_type
           WHERE last.l IS NULL OR b.ts > last.l),
 u AS (SELECT *, 0 AS arrival FROM hist UNION ALL SELECT *, 1 FROM fresh),
-k AS (SELECT event_type, ts, arg_max({'v': value, 'q': valueQualifier}, arrival) AS r
+k AS (SELECT event_type, ts, arg_max({'v': value, 'q': valueQualifier}, (arrival, value)) AS r
       FROM u GROUP BY 1, 2),
 k2 AS (SELECT event_type, ts, r.v AS value, r.q AS valueQualifier FROM k)
 SELECT event_type, count(*) AS n, max(ts) AS last_ts, round(sum(value), 4) AS value_sum,

@@ -32,6 +32,11 @@ def write_run_metadata(meta: DataFrame, path: str) -> None:
            ["station_id", "horizon_hours"], "json")
 
 
+def write_station_info(stations: DataFrame, path: str) -> None:
+    """One JSON record per station (its monitor's attributes)."""
+    _write(stations, path, ["station_id"], "json")
+
+
 def write_feature_lists(features: DataFrame, path: str) -> None:
     """Kept features (feature, rank) per (station, horizon)."""
     _write(features, path, ["station_id", "horizon_hours"], "json")
@@ -50,7 +55,7 @@ def save_models(models: dict, path: str) -> None:
 
 def write_best_model_table(best: DataFrame, path: str, horizons=None) -> None:
     """Station x horizon pivot of the chosen model as one CSV table."""
-    best_model_table(best, horizons).coalesce(1).write.mode("overwrite") \
+    best_model_table(best, horizons).repartition(1).write.mode("overwrite") \
         .option("header", True).csv(path)
 
 
