@@ -14,8 +14,6 @@ prefix counts of the small bin table, and only that bin is ordered.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +85,3 @@ def conformal_decision(p: str = "p", conf_threshold: str = "conf_threshold"):
     """``p >= conf_threshold``, or ``p >= 0.5`` when no calibration exists."""
     return F.when(F.col(conf_threshold).isNotNull(), decide(p, F.col(conf_threshold))) \
             .otherwise(decide(p, 0.5))
-
-
-def level_py(n: int, alpha: float) -> float:
-    """Reference value of the quantile level for a given n (used in tests)."""
-    return min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)

@@ -100,7 +100,7 @@ def first_with_data(candidates: DataFrame, available: DataFrame, target: str, ca
     """Per target, the first candidate (T2 order) that has data; ``available`` has
     one column ``cand``.  Grouped ``min_by`` instead of a per-target loop."""
     c = candidates.join(available, cand, "left_semi")
-    key = F.struct((~F.col(upstream)).alias("a"), F.col(distance).alias("b"), F.col(cand).alias("c"))
+    key = F.struct(candidate_order(upstream, distance).alias("order"), F.col(cand))
     return c.groupBy(target).agg(F.min_by(cand, key).alias("chosen"),
                                  F.count(F.lit(1)).alias("n_with_data"))
 

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrisk.functions.columns import rnd
+from flowrisk.functions.columns import canonical_id, rnd
 from flowrisk.operators import evaluate as ev
 from flowrisk.operators import readings as rd
-from flowrisk.operators.grid import join_exogenous, keep_first_per_time
+from flowrisk.operators.grid import join_exogenous, keep_first_per_time, only_entity
 from flowrisk.plans import evaluation as evq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans import risk_table as rkq
 from flowrisk.session import checkpoint_dir
 from flowrisk.sources import reports as rp
+from flowrisk.sources import readers as rdr
 from flowrisk.sources import sinks
 from flowrisk.sources.tables import table
 
@@ -121,6 +122,59 @@ FROM c LEFT JOIN (SELECT * FROM f WHERE event_type <> 'click') o USING (hour) GR
 """
 
 
+# ------------------------------------------------------------------------ S1-S4
+def landed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed CSV inputs, written from the driver's tables and read by the typed readers
+    (S1-S4): flow, rain readings, forecast and monitors; NaN becomes NULL, the qualifier and
+    unknown columns are dropped (P4, P5), one entity on request (P15), folders named by
+    label (F1)."""
+    root = _folder(spark, "landed")
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    amount = F.round("value").cast("int")
+    text = lambda c, bad: F.when(bad, F.lit("NaN")).otherwise(F.format_string("%.2f", c))
+    flow = e.select(F.col("event_type").alias("station_id"), stamp.alias("time"), F.lit(1).alias("flow_l_s"),
+                    amount.alias("depth_mm"), text("value", amount % 7 == 0).alias("velocity_m_s"))
+    rain = e.select(rd.station_file_label(F.concat(F.lit("Gauge "), F.initcap("event_type"))).alias("label"),
+                    stamp.alias("dateTime"), text("value", amount % 5 == 0).alias("value"), F.lit("Good").alias("valueQualifier"))
+    cast = e.groupBy(F.date_trunc("hour", "ts").alias("time")).agg(F.count(F.lit(1)).cast("double").alias("p"))
+    cast = cast.select("time", F.col("p").alias("precipitation_surface"), (2 * F.col("p")).alias("precipitation_surface_cum"))
+    sup = table(spark, sf_dir, "supplier")
+    mon = sup.select(F.lit("flow_monitor").alias("type"), F.concat("s_suppkey", F.lit(".0")).alias("id"),
+                     F.lit(None).cast("string").alias("alt_id"), "s_name", F.lit(150.5).alias("pipe_diameter_mm"),
+                     F.lit("yes").alias("recently_active"), F.lit(50.8).alias("lat"), F.lit(-0.8).alias("lon"))
+    for name, df in (("flow", flow), ("forecast", cast), ("monitors", mon)):
+        df.write.option("header", True).csv(f"{root}/{name}")
+    rain.write.option("header", True).partitionBy("label").csv(f"{root}/rain")
+    one = lambda n, df, v: df.agg(
+        F.lit(n).alias("input"), F.count(F.lit(1)).alias("n"), F.count(v).alias("n_values"),
+        F.sum(F.round(F.col(v) * 100).cast("long")).alias("cents"))
+    f = rdr.read_flow(spark, f"{root}/flow")
+    r = rdr.read_readings(spark, f"{root}/rain/label=gauge_click", "rain")
+    m = rdr.drop_if_present(rdr.read_monitors(spark, f"{root}/monitors"), "lat", "no_such_column")
+    ids = rdr.read_monitors(spark, f"{root}/monitors", all_string=True).withColumn("no", canonical_id("id").cast("double"))
+    out = one("flow", f, "velocity_m_s").unionByName(one("click", only_entity(f, "station_id", "click"), "velocity_m_s"))
+    return (out.unionByName(one("rain", r, "rain"))
+            .unionByName(one("forecast", rdr.read_forecast(spark, f"{root}/forecast"), "precipitation_surface_cum"))
+            .unionByName(one("monitors", m, "pipe_diameter_mm")).unionByName(one("monitor ids", ids, "no")))
+
+
+LANDED_SQL = """
+WITH e AS (SELECT event_type, date_trunc('hour', ts) AS h, CAST(round(value) AS INTEGER) AS a,
+                  CAST(round(value * 100) AS BIGINT) AS c FROM events),
+hours AS (SELECT h, count(*) AS p FROM e GROUP BY 1)
+SELECT 'flow' AS input, count(*) AS n, count(*) FILTER (a % 7 <> 0) AS n_values,
+       CAST(sum(c) FILTER (a % 7 <> 0) AS BIGINT) AS cents FROM e
+UNION ALL SELECT 'click', count(*), count(*) FILTER (a % 7 <> 0), CAST(sum(c) FILTER (a % 7 <> 0) AS BIGINT)
+FROM e WHERE event_type = 'click'
+UNION ALL SELECT 'rain', count(*), count(*) FILTER (a % 5 <> 0), CAST(sum(c) FILTER (a % 5 <> 0) AS BIGINT)
+FROM e WHERE event_type = 'click'
+UNION ALL SELECT 'forecast', count(*), count(*), CAST(sum(200 * p) AS BIGINT) FROM hours
+UNION ALL SELECT 'monitors', count(*), count(*), CAST(count(*) * 15050 AS BIGINT) FROM supplier
+UNION ALL SELECT 'monitor ids', count(*), count(*), CAST(sum(s_suppkey) * 100 AS BIGINT) FROM supplier
+"""
+
+
 # ------------------------------------------------------------------------ S14, S15, S17, S18
 def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric matrix (S14), run metadata (S15), best-model table (S17) and predictions by

@@ -254,3 +254,9 @@ def envelope_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts written and read back."""
     return arq.artifact_tables(spark, sf_dir)
+
+
+@register("landed_tables", arq.LANDED_SQL)
+def landed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed CSV inputs through the typed readers."""
+    return arq.landed_tables(spark, sf_dir)
