@@ -309,7 +309,7 @@ def compute_features(layout: DataFrame, keys, feats: Sequence[Feat], step_hours:
 
     carry = [f for f in feats if f.op in CARRY]
     if carry:
-        df = _carry_stage(df, keys, part, carry, step_hours, w, run)
+        df = _carry_stage(df, layout, keys, part, carry, step_hours, w, run)
 
     out_cols = [c for c in base_cols if c not in (BUCKET, CORE)] if keep is None else list(keep)
     feat_names = list(dict.fromkeys(f.name for f in feats))
@@ -323,15 +323,17 @@ def _mask_of(f: Feat) -> Column:
     return falsey(F.col(f.col) > F.lit(f.thr))
 
 
-def _carry_stage(df, keys, part, feats, step_hours, w, run):
-    """Unbounded-history features: in-bucket running state + carry from earlier buckets."""
+def _carry_stage(df, layout, keys, part, feats, step_hours, w, run):
+    """Unbounded-history features: in-bucket running state + carry from earlier buckets.
+
+    The bucket summaries come from the layout itself, so that nothing above it runs twice."""
     summ = []
     for i, f in enumerate(feats):
         if f.op == "cumsum":
             summ.append(F.sum(F.col(f.col)).alias(f"_cs{i}"))
         else:
             summ.append(F.max(F.when(_mask_of(f), F.col(RN))).alias(f"_lt{i}"))
-    s = df.where(F.col(CORE)).groupBy(*part).agg(*summ)
+    s = layout.where(F.col(CORE)).groupBy(*part).agg(*summ)
     prev = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for i, f in enumerate(feats):

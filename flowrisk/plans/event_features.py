@@ -115,7 +115,9 @@ def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
     lay = (lay.join(cap, KEY).withColumn(C.fill, safe_div(F.col(C.depth), F.col("_cap")))
            .drop("_cap")
            .join(fc, "time", "left").join(rain, "time", "left").join(grnd, "time", "left"))
-    lay = fill_gaps(lay, KEY, [C.precip, C.precip_cum, C.rain, C.grnd], GAP_LIMIT, halo)
+    # the layout and the filled layout are each read twice (rows and bucket summaries)
+    lay = fill_gaps(stage(lay, "layout"), KEY, [C.precip, C.precip_cum, C.rain, C.grnd], GAP_LIMIT, halo)
+    lay = stage(lay, "filled")
     keep = [KEY, "rn", "time", C.depth, C.flow, C.velocity, C.fill, C.precip,
             C.precip_cum, C.rain, C.grnd]
     return compute_features(lay, KEY, feats, FREQ_MIN / 60.0, keep=keep), feats
