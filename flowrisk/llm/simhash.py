@@ -113,7 +113,7 @@ def close_pairs(distinct: DataFrame, radius: int, *, tile: int = 2048) -> DataFr
     """Links ``(a, b)`` that connect all fingerprints of ``distinct`` within the radius."""
     n = distinct.count()
     blocks = 2 if n < 4 << 20 else 4
-    salts = -(-n // (4 << 20))
+    salts = max(1, -(-n // (4 << 20)))
     width = 64 // blocks
     mask = (1 << width) - 1
     cell = F.array(*[F.bit_count(F.shiftrightunsigned("fingerprint", i * width).bitwiseAND(F.lit(mask)))
