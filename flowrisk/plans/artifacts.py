@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from flowrisk.functions.columns import canonical_id, rnd
 from flowrisk.operators import evaluate as ev
 from flowrisk.operators import readings as rd
+from flowrisk.operators.conformal import nonconformity
 from flowrisk.operators.grid import join_exogenous, keep_first_per_time, only_entity
+from flowrisk.operators.metrics import exceed, persistence_prob
 from flowrisk.plans import evaluation as evq
 from flowrisk.plans import report_roundtrip as rpq
 from flowrisk.plans import risk_table as rkq
@@ -177,8 +179,8 @@ UNION ALL SELECT 'monitor ids', count(*), count(*), CAST(sum(s_suppkey) * 100 AS
 
 # ------------------------------------------------------------------------ S14, S15, S17, S18
 def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric matrix (S14), run metadata (S15), best-model table (S17) and predictions by
-    station (S18), written and read back: one row per artifact, station and horizon."""
+    """Metric matrix (S14), run and station metadata (S15), conformal scores (S16), best-model
+    table (S17) and predictions by station (S18), written and read back: one row per artifact, station and horizon."""
     root = _folder(spark, "artifacts")
     long = evq.metrics_long(spark, sf_dir)
     best = ev.best_models(long)
@@ -189,6 +191,9 @@ def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_predictions(risk.select("station_id", "horizon_hours", "time", "risk_percent", "model"), f"{root}/risk")
     sinks.write_station_info(best.groupBy("station_id").agg(F.count(F.lit(1)).alias("horizons")), f"{root}/stations")
     keys = ["station_id", "horizon_hours"]
+    train = rkq.rows(spark, sf_dir).where(~F.col("is_test")).select(
+        *keys, exceed("target", 0.5).alias("class"), persistence_prob("mx24").alias("p"))
+    sinks.write_conformal_scores(train.select(*keys, "class", nonconformity("class").alias("score")), f"{root}/scores")
     name = lambda n: F.lit(n).alias("artifact")
     kinds = "section string, metric string, Persistence double, EnsembleClassifier double, " \
             "ConformalEnsemble double, station_id string, horizon_hours int"
@@ -207,9 +212,12 @@ def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sinks.read_predictions(spark, f"{root}/risk").groupBy(*keys).agg(
         name("risk"), F.count(F.lit(1)).alias("n"), rnd(F.sum("risk_percent"), 4).alias("total"),
         F.max("model").alias("model"))
+    scores = spark.read.parquet(f"{root}/scores").groupBy(*keys).agg(
+        name("scores"), F.count("class").alias("n"), rnd(F.sum("score"), 4).alias("total"))
     info = spark.read.schema("horizons long, station_id string").json(f"{root}/stations").select(
         "station_id", name("station"), F.col("horizons").alias("n"))
     out = m.unionByName(runs).unionByName(t).unionByName(p).unionByName(info, allowMissingColumns=True)   # U1
+    out = out.unionByName(scores, allowMissingColumns=True)
     return out.withColumn("horizon_hours", F.col("horizon_hours").cast("int")).orderBy("artifact", *keys)   # T7
 
 
@@ -224,5 +232,7 @@ UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'run', 1, 0.1, best
 UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'best', 1, NULL, best_model FROM best
 UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'risk', count(*), round(sum(risk_percent), 4), max(model)
 FROM tests GROUP BY 1, 2
+UNION ALL SELECT station_id, CAST(horizon_hours AS INTEGER), 'scores', count(*),
+       round(sum(CASE WHEN y = 1 THEN 1.0 - p ELSE p END), 4), NULL FROM tr GROUP BY 1, 2
 UNION ALL SELECT station_id, NULL, 'station', count(*), NULL, NULL FROM best GROUP BY 1
 """
