@@ -27,6 +27,8 @@ from flowrisk.session import stage
 
 DIGIT = re.compile("[0-9]").search
 FIELD = "<*>"
+#: Lines that a broadcast may name; beyond it the texts are joined by a shuffle.
+BROADCAST_LINES = 200_000
 
 
 def masked(line: str) -> list[str]:
@@ -114,12 +116,15 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
     lines = stage(ids.mapInArrow(cut, "key long, h long, no int, leaf long, line long, new boolean"), "lines")
     common = (lines.groupBy("leaf").agg(F.sum(F.col("new").cast("int")).alias("n"))
               .where(F.col("n") >= min_documents).select("leaf"))
+    lines = stage(lines.join(common, "leaf", "left_semi").drop("new"), "common-lines")
     first = F.struct("key", "h", "no")
-    different = stage(lines.join(common, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min(first).alias("at")), "distinct")
+    different = stage(lines.groupBy("leaf", "line").agg(F.min(first).alias("at")), "distinct")
     many = different.groupBy("leaf").agg(F.count("*").alias("lines"))
     shared = different.join(many.where("lines > 1"), "leaf")
-    wanted = (shared.select("leaf", "line", "at.key", "at.h", "at.no").groupBy("key", "h")
-              .agg(F.collect_list(F.struct("leaf", "line", "no")).alias("want")))
+    wanted = stage(shared.select("leaf", "line", "at.key", "at.h", "at.no").groupBy("key", "h")
+                   .agg(F.collect_list(F.struct("leaf", "line", "no")).alias("want")), "wanted")
+    if (wanted.agg(F.sum(F.size("want"))).first()[0] or 0) <= BROADCAST_LINES:  # about 40 bytes each
+        wanted = F.broadcast(wanted)
     same = ids["key"].eqNullSafe(wanted["key"]) & (ids["h"] == wanted["h"])
     fetched = ids.join(wanted, same).select("text", "want")
 
