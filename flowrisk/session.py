@@ -53,15 +53,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
-def stage(df, name: str = "stage"):
+#: Tables that ``stage`` has written in this process, oldest first.
+STAGED: list[str] = []
+
+
+def stage(df, name: str = "stage", listed: bool = True):
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts long lineages (and the plan size) where a result is reused several times;
-    the written table survives executor loss, unlike cached blocks.
+    the written table survives executor loss, unlike cached blocks.  ``listed`` tables can
+    be dropped by ``drop_tables`` once nothing reads them any more.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if listed:
+        STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables through the file system that holds them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        if p in STAGED:
+            STAGED.remove(p)
