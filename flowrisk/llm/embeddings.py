@@ -9,7 +9,8 @@ settled by that; only the pairs in between are computed in double precision.  A
 link counts and a spanning forest of its links, never the pairs.
 
 Scale: a block travels once per block, so the volume is (vectors x blocks); blocks grow to
-``block`` vectors before their number does.  Memory of a task is two blocks and one tile.
+``block`` vectors (fewer if these are long) before their number does.  Memory of a task is
+two blocks and one tile.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from flowrisk.session import stage
 
 #: Rows and columns of a tile of products, and dimensions whose int8 products sum exactly in float32.
 TILE, EXACT_DIMS = 1024, 1024
+#: Components of a block's vectors at most (32 MB in double precision).
+BLOCK_NUMBERS = 4 << 20
 #: More than what rounding in double and float32 can add to a cosine.
 SLACK = 1e-5
 
@@ -109,7 +112,8 @@ def cosine_groups(df: DataFrame, *, key: str = "vec_id", vector: str = "embeddin
     classes = stage(rows.where("vector is not null").groupBy("vector")
                     .agg(F.min("id").alias("id"), F.count("*").alias("many"))
                     .withColumn("node", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
+    n, dims = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
+    block = min(block, max(64, BLOCK_NUMBERS // (dims or 1)))
     blocks = max(1, -(-n // block), min(8, n // 256))
     placed = classes.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
