@@ -114,8 +114,8 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
                      pa.array(line, pa.int64()), pa.array(new, pa.bool_())], ["key", "h", "no", "leaf", "line", "new"])
 
     lines = stage(ids.mapInArrow(cut, "key long, h long, no int, leaf long, line long, new boolean"), "lines")
-    common = (lines.groupBy("leaf").agg(F.sum(F.col("new").cast("int")).alias("n"))
-              .where(F.col("n") >= min_documents).select("leaf"))
+    common = stage(lines.groupBy("leaf").agg(F.sum(F.col("new").cast("int")).alias("n"))
+                   .where(F.col("n") >= min_documents).select("leaf"), "common-leaves")
     lines = stage(lines.join(common, "leaf", "left_semi").drop("new"), "common-lines")
     first = F.struct("key", "h", "no")
     different = stage(lines.groupBy("leaf", "line").agg(F.min(first).alias("at")), "distinct")
