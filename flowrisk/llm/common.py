@@ -54,7 +54,7 @@ class Memo(dict):
     Long arguments are not kept.
     """
 
-    MOST, LONGEST = 400_000, 40
+    MOST, LONGEST = 550_000, 40
 
     def __init__(self, make: Callable):
         super().__init__()

@@ -27,13 +27,24 @@ from flowrisk.llm.common import Memo, partitions, texts
 from flowrisk.llm.counts import read_spec
 from flowrisk.session import stage
 
+def plain(word: str) -> bool:
+    """Latin letters only, each composed and with one letter as its lower case (not U+0130)."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
+#: The byte-level alphabet: visible bytes stand for themselves, the others for 256 and up, in order.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The word tokenizer drops white space, so words encode by themselves; each worker keeps a
-    bounded memo of them.  It also lower-cases, and parts a full stop or comma from a letter
-    before it: such words are put together from the memo.  Words of lower-case ASCII letters
-    are one pre-token and unchanged by the normaliser, so they go straight to the BPE model.
+    bounded memo of them.  It also lower-cases, and parts a full stop or comma from a Latin
+    letter before it: such words are put together from the memo.  Words of lower-case Latin letters
+    are one pre-token and unchanged by the normaliser, so they go straight to the BPE model,
+    as the byte-level characters of their UTF-8.
     """
 
     def __init__(self, spec: str):
@@ -44,13 +55,14 @@ class WordIds:
         self.memo[""] = b""
 
     def of_word(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        if len(word) > 1 and word[-1] in ".," and plain(word[-2]):
             return self.memo[word[:-1]] + self.memo[word[-1]]
-        if word.isascii() and word.isalpha():
+        if plain(word):
             low = word.lower()
             if low != word:
                 return self.memo[low]
-            ids = [t.id for t in self.merge(word)]
+            piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.merge(piece)]
         else:
             ids = self.model.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)

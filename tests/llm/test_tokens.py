@@ -169,6 +169,19 @@ def test_op10_packs_all_documents(spark):
     assert used <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
+def test_word_ids_match_the_library():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, words, r = Tokenizer.from_file(path), packing.word_ids(packing.read_spec(path)), random.Random(11)
+    letters = [chr(c) for c in range(0x41, 0x260) if chr(c).isalpha()] + ["\u0958", "\u0301", "\u1e9e", "\u212b"]
+    texts = [x + end for x in letters for end in ("", ".", ",", "..", "a.", "'s.")]
+    texts += ["".join(r.choice([*letters, " ", ".", ",", "'s", "1", "\u3000", "<|endoftext|>"]) for _ in range(r.randint(1, 40)))
+              for _ in range(2000)]
+    for text in texts:
+        ids = model.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
 def _least_bins(sizes, capacity):
     """The least number of bins, by trying every bin for the next piece (small cases)."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
