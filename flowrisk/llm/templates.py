@@ -8,13 +8,18 @@ Templates that recur in many documents are dropped (their first line stays, unle
 Stages: one narrow row per line (leaf and line hashes) is staged; leaves that occur in too
 few documents end there.  Only leaves with several different lines need those lines' text,
 one copy of each.  Scale: documents are counted by partial aggregation, so a line in every
-third document is one row per task; a leaf with too many different lines is parsed deeper.
+third document is one row per task.  The depth is the same at every size: a leaf with many
+different lines is split into groups that share no template, which gives the same templates;
+a group's lines stream through one task, which holds the templates and not the lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowrisk.llm.common import free_name, in_pieces, partitions, texts
+from flowrisk.llm.components import components
 from flowrisk.session import stage
 
 DIGIT = re.compile("[0-9]").search
 FIELD = "<*>"
 #: Lines that a broadcast may name; beyond it the texts are joined by a shuffle.
 BROADCAST_LINES = 200_000
+#: Keys that a line of a large leaf may be given.
+MOST_SHARES = 24
 
 
 def masked(line: str) -> list[str]:
@@ -50,30 +58,95 @@ def _lines(text: str, depth: int, least: int) -> Iterator[tuple[int, int, int, l
             yield no, _hash(f"{len(tokens)} " + " ".join(tokens[:depth])), _hash(" ".join(tokens)), tokens
 
 
-def parse(lines: list[list[str]], alike: float) -> list[int]:
-    """Template of each line of one leaf (same token count), as the number of its first line.
+def allowed(n: int, alike: float) -> int:
+    """Most fields in which a line of ``n`` tokens may differ from the first line of its template."""
+    return next((n - s for s in range(n + 1) if s >= alike * n), 0)
+
+
+def bands(n: int, depth: int, alike: float) -> list[tuple[int, ...]]:
+    """Places past the leading ``depth``, cut into one band more than fields may differ."""
+    parts, places = allowed(n, alike) + 1, range(min(depth, n), n)
+    return [tuple(places[k * len(places) // parts:(k + 1) * len(places) // parts]) for k in range(parts)]
+
+
+@lru_cache(maxsize=1024)
+def shares(n: int, depth: int, alike: float) -> list[tuple[int, ...]]:
+    """Sets of places: lines of one leaf that can meet in a template agree in all of one set.
+
+    All ways to leave out the fields that may differ where these are few, else ``bands``.
+    """
+    left = n - min(depth, n)
+    take = max(0, left - allowed(n, alike))
+    if comb(left, take) <= MOST_SHARES:
+        return list(combinations(range(n - left, n), take))
+    return bands(n, depth, alike)
+
+
+class Templates:
+    """The templates of one leaf, which its lines (of one token count) meet one after the other.
 
     A line joins the template with most equal fields if these are at least ``alike`` of all
-    (the earlier one on ties); fields that differ become variable and equal nothing.
+    (the earlier one on ties); fields that differ become variable and equal nothing.  As a
+    template only loses fields, its first line has all that a later one can agree with: only
+    templates whose first line shares a band are compared once there are many.
     """
-    ids: dict[str, int] = {FIELD: -1}
-    table = np.array([[ids.setdefault(t, len(ids)) for t in line] for line in lines])
-    table[table < 0] = -2  # a line's variable field equals no template's field
-    known = np.empty_like(table)
-    first: list[int] = []
-    out = []
-    for i, line in enumerate(table):
-        same = known[:len(first)] == line
-        score = same.sum(axis=1)
-        best = int(score.argmax()) if len(first) else -1
-        if best >= 0 and score[best] >= alike * table.shape[1]:
-            known[best][~same[best]] = -1
+
+    def __init__(self, n: int, alike: float, depth: int = 0):
+        self.least, self.bands = alike * n, bands(n, depth, alike)
+        self.ids: dict[str, int] = {}
+        self.known = np.empty((16, n), np.int64)
+        self.first: list[int] = []
+        self.by_band: dict[tuple, list[int]] = {}
+
+    def place(self, line: list[str], name: int) -> int:
+        """The name of the first line of the template that ``line`` joins (its own if it starts one)."""
+        own = np.array([-2 if t == FIELD else self.ids.get(t, -2) for t in line], np.int64)
+        shared = [(k, *(line[i] for i in band)) for k, band in enumerate(self.bands)]
+        size = len(self.first)
+        if size <= 256:
+            near = np.arange(size)
         else:
-            best = len(first)
-            known[best] = np.maximum(line, -1)
-            first.append(i)
-        out.append(first[best])
-    return out
+            near = np.array(sorted(set().union(*(self.by_band.get(s, ()) for s in shared))), np.int64)
+        if len(near):
+            same = self.known[near] == own
+            score = same.sum(axis=1)
+            best = int(score.argmax())
+            if score[best] >= self.least:
+                self.known[near[best]][~same[best]] = -1
+                return self.first[near[best]]
+        if size == len(self.known):
+            self.known = np.concatenate([self.known, np.empty_like(self.known)])
+        # a line's variable field equals no template's field
+        self.known[size] = [-1 if t == FIELD else self.ids.setdefault(t, len(self.ids)) for t in line]
+        for s in shared:
+            self.by_band.setdefault(s, []).append(size)
+        self.first.append(name)
+        return name
+
+
+def parse(lines: list[list[str]], alike: float) -> list[int]:
+    """Template of each line of one leaf (same token count), as the number of its first line."""
+    found = Templates(len(lines[0]) if lines else 0, alike)
+    return [found.place(line, i) for i, line in enumerate(lines)]
+
+
+def _groups(word: DataFrame, depth: int, alike: float) -> DataFrame:
+    """``(node, component)`` of the lines that links of possible agreement hold together."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, tokens = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in in_pieces([len(t) for t in tokens], 1 << 16):
+                line, share = [], []
+                for a, t in zip(lines[i:j], tokens[i:j]):
+                    head = f"{len(t)} " + " ".join(t[:depth])
+                    for k, at in enumerate(shares(len(t), depth, alike)):
+                        line.append(a)
+                        share.append(_hash(f"{k} {head} " + " ".join(t[p] for p in at)))
+                yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(share, pa.int64())], ["a", "share"])
+
+    share = stage(word.select("line", "tokens").mapInArrow(cut, "a long, share long"), "shares")
+    least = share.groupBy("share").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return components(share.join(least.select("share", "b"), "share").select("a", "b"))
 
 
 def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = 3, least_tokens: int = 6,
@@ -85,8 +158,8 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
     templates.  A template recurs if ``min_documents`` documents have it; with ``keep_first``
     its first line (least key, then line number) stays.  Null texts stay null, texts without
     a recurring line stay as they are.  Rows with the same key and text count as one document
-    and lose the same lines.  A leaf with more than ``leaf_lines`` different lines is parsed
-    to twice the depth, again and again.  Existing columns of the new names are replaced.
+    and lose the same lines.  A leaf with more than ``leaf_lines`` different lines is split without
+    a change of its templates.  Existing columns of the new names are replaced.
     """
     spark = df.sparkSession
     df = df.drop("n_lines", "n_dropped")
@@ -141,30 +214,29 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
 
     word = stage(fetched.mapInArrow(fetch, "leaf long, line long, tokens array<string>")
                  .dropDuplicates(["leaf", "line"]), "tokens")
-    word, deep = word.withColumn("node", F.col("leaf")), depth
-    while True:  # parse nodes with too many lines deeper
-        deep *= 2
-        large = word.groupBy("node").agg(F.count("*").alias("n"), F.max(F.size("tokens")).alias("longest"))
-        large = large.where((F.col("n") > leaf_lines) & (F.col("longest") >= deep // 2)).select("node", F.lit(True).alias("large"))
-        if large.isEmpty():
-            break
-        lower = F.when(F.col("large"), F.xxhash64("node", F.slice("tokens", 1, deep))).otherwise(F.col("node"))
-        word = stage(word.join(large, "node", "left").withColumn("node", lower).drop("large"), "tokens")
-
-    def grow(table):
-        table = table.sort_by([("node", "ascending"), ("line", "ascending")])
-        node, line, tokens = (table[c].to_pylist() for c in ("node", "line", "tokens"))
-        out, i = [], 0
-        while i < len(node):
-            j = i
-            while j < len(node) and node[j] == node[i]:
-                j += 1
-            out += [line[i + k] for k in parse(tokens[i:j], alike)]
-            i = j
-        return pa.table({"leaf": table["leaf"], "line": table["line"], "template": pa.array(out, pa.int64())})
-
-    bucket = F.pmod("node", F.lit(4 * partitions(spark)))
-    grown = word.groupBy(bucket.alias("bucket")).applyInArrow(grow, "leaf long, line long, template long")
+    large = many.where(F.col("lines") > leaf_lines).select("leaf")
+    if large.isEmpty():
+        word = word.withColumn("node", F.col("leaf"))
+    else:  # lines that no chain of possible agreement links never meet in a template
+        apart = stage(word.join(large, "leaf", "left_semi"), "large-leaves")
+        group = _groups(apart, depth, alike)
+        apart = apart.join(group, F.col("line") == F.col("node"), "left").select(
+            "leaf", "line", "tokens", F.coalesce("component", "line").alias("node"))
+        word = word.join(large, "leaf", "left_anti").withColumn("node", F.col("leaf")).unionByName(apart)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, found = None, None
+        for b in batches:
+            out = []
+            for a, line, tokens in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+                if a != node:
+                    node, found = a, Templates(len(tokens), alike, depth)
+                out.append(found.place(tokens, line))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.int64())],
+                                             ["leaf", "line", "template"])
+
+    word = word.select("node", "leaf", "line", "tokens").repartition(partitions(spark), "node")
+    grown = word.sortWithinPartitions("node", "line").mapInArrow(grow, "leaf long, line long, template long")
     alone = different.join(many.where("lines = 1"), "leaf").select("leaf", "line", F.col("line").alias("template"))
     tree = stage(grown.union(alone), "tree")
     placed = lines.join(tree, ["leaf", "line"])

@@ -161,6 +161,32 @@ def test_parse_matches_brute_force():
         assert templates.parse(lines, 0.8) == brute.parse(lines, 0.8)
 
 
+def test_large_leaves_keep_their_templates(spark):
+    """A word field past the leading tokens is one template at any number of different lines."""
+    r = random.Random(12)
+    names = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    rows = []
+    for i, name in enumerate(names):
+        lines = [f"this page was last viewed by user {name}", f"in the city of {name} there are many old and new houses",
+                 "one two three " + " ".join(r.choice("abcd") for _ in range(r.randint(3, 9))),
+                 "one two three " + " ".join(r.choice("ab") for _ in range(12)), prose(i, 12)]
+        rows.append((i, "\n".join(r.sample(lines, 5))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = _brute_lines(rows, 10)
+    for leaf_lines in (8192, 100, 1):
+        out = {x["doc_id"]: x for x in templates.drop_templates(df, leaf_lines=leaf_lines).collect()}
+        assert {i: x["text"] for i, x in out.items()} == expected
+        assert all(out[i]["n_dropped"] >= 2 for i in range(1, 400))
+
+
+def test_parse_with_many_templates_matches_brute_force():
+    r = random.Random(10)
+    lines = [[r.choice(["a", "b", "c", "d", "<*>"]) for _ in range(7)] for _ in range(1500)]
+    found = templates.Templates(7, 0.8)
+    assert [found.place(line, i) for i, line in enumerate(lines)] == brute.parse(lines, 0.8)
+    assert len(found.first) > 256
+
+
 def test_template_lines_of_odd_rows(odd_docs, no_docs):
     out = templates.drop_templates(odd_docs, min_documents=2)
     rows = out.collect()
