@@ -64,7 +64,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_step
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs (but for its first line)."""
-    return _restored(templates.drop_templates(_aside(docs), min_documents=10), docs)
+    return _restored(templates.drop_templates(_aside(docs), min_documents=10, short_lines=True), docs)
 
 
 @_step

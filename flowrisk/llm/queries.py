@@ -109,7 +109,8 @@ def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines whose template recurs in ten or more documents."""
-    out = templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"), min_documents=10)
+    out = templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"), min_documents=10,
+                                   short_lines=True)
     return out.select("doc_id", "n_lines", "n_dropped",
                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -32,6 +32,7 @@ from flowrisk.llm.components import components
 from flowrisk.session import stage
 
 DIGIT = re.compile("[0-9]").search
+DIGITS = re.compile("[0-9]+")
 FIELD = "<*>"
 #: Lines that a broadcast may name; beyond it the texts are joined by a shuffle.
 BROADCAST_LINES = 200_000
@@ -50,12 +51,26 @@ def _hash(text: str) -> int:
     return xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _lines(text: str, depth: int, least: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """Line number, leaf, line hash and masked tokens of the lines with enough tokens."""
+def masked_short(line: str) -> list[str]:
+    """Tokens of a line too short for the tree, which is a template as it stands.
+
+    Tokens with a digit are fields as long as a word stays beside them; else, and in tokens
+    that are not ASCII (scripts without spaces have whole sentences there), only the digits are.
+    """
+    tokens = line.split()
+    word = not all(map(DIGIT, tokens))
+    return [FIELD if word and t.isascii() and DIGIT(t) else DIGITS.sub(FIELD, t) for t in tokens]
+
+
+def _lines(text: str, depth: int, least: int, short: bool) -> Iterator[tuple[int, int, int]]:
+    """Line number, leaf and line hash of the lines that can be templates."""
     for no, line in enumerate(text.split("\n")):
         tokens = masked(line)
         if len(tokens) >= least:
-            yield no, _hash(f"{len(tokens)} " + " ".join(tokens[:depth])), _hash(" ".join(tokens)), tokens
+            yield no, _hash(f"{len(tokens)} " + " ".join(tokens[:depth])), _hash(" ".join(tokens))
+        elif short and tokens:  # a leaf of its own
+            own = _hash("\n" + " ".join(masked_short(line)))
+            yield no, own, own
 
 
 def allowed(n: int, alike: float) -> int:
@@ -151,11 +166,12 @@ def _groups(word: DataFrame, depth: int, alike: float) -> DataFrame:
 
 def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = 3, least_tokens: int = 6,
                    alike: float = 0.8, min_documents: int = 10, keep_first: bool = True, leaf_lines: int = 8192,
-                   ) -> DataFrame:
+                   short_lines: bool = False) -> DataFrame:
     """``df`` with the recurring lines taken from its text, plus ``n_lines`` and ``n_dropped``.
 
-    Lines are split at line feeds; those with fewer than ``least_tokens`` tokens are never
-    templates.  A template recurs if ``min_documents`` documents have it; with ``keep_first``
+    Lines are split at line feeds.  Those with fewer than ``least_tokens`` tokens stay out of
+    the tree; with ``short_lines`` each is a template as it stands, but for its digits (see
+    ``masked_short``), and only blank lines are none.  A template recurs if ``min_documents`` documents have it; with ``keep_first``
     its first line (least key, then line number) stays.  Null texts stay null, texts without
     a recurring line stay as they are.  Rows with the same key and text count as one document
     and lose the same lines.  A leaf with more than ``leaf_lines`` different lines is split without
@@ -174,7 +190,7 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
                 row, no, leaf, line, new = [], [], [], [], []
                 for r in range(i, j):
                     seen = set()
-                    for n, a, c, _ in _lines(values[r], depth, least_tokens):
+                    for n, a, c in _lines(values[r], depth, least_tokens, short_lines):
                         row.append(r)
                         no.append(n)
                         leaf.append(a)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowrisk.llm import components, embeddings, repeats, simhash, templates
 from flowrisk.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -187,6 +188,31 @@ def test_parse_with_many_templates_matches_brute_force():
     assert len(found.first) > 256
 
 
+def test_short_lines_recur_too(spark, tmp_path):
+    r = random.Random(13)
+    rows = []
+    for i in range(40):
+        lines = ["All rights reserved.", f"Page {i} of {i + 40}", f" {i} ", "這一行在每個文件裡都有", "", prose(i, 12),
+                 f"第{i}個文件的{prose(i, 1)}寫於2024年", f"{prose(i, 2, 5000)} one", "rare line" if i < 9 else "often seen"]
+        rows.append((i, "\n".join(r.sample(lines, 9))))
+    often = {"All rights reserved.", "這一行在每個文件裡都有", "often seen"}
+    expected, seen = {}, set()
+    for i, t in rows:
+        keep = []
+        for line in t.split("\n"):
+            own = "page" if line.startswith("Page") else "number" if line.strip().isdigit() else line if line in often else None
+            if own is None or own not in seen:
+                keep.append(line)
+            seen.add(own)
+        expected[i] = "\n".join(keep)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["kept_sha256"] for x in QUERIES["op3_template_lines"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in expected.items()}
+    assert {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == expected
+
+
 def test_template_lines_of_odd_rows(odd_docs, no_docs):
     out = templates.drop_templates(odd_docs, min_documents=2)
     rows = out.collect()
