@@ -101,12 +101,14 @@ class Templates:
     """The templates of one leaf, which its lines (of one token count) meet one after the other.
 
     A line joins the template with most equal fields if these are at least ``alike`` of all
-    (the earlier one on ties); fields that differ become variable and equal nothing.  As a
-    template only loses fields, its first line has all that a later one can agree with: only
+    (the earlier one on ties); fields that differ become variable and equal nothing.  With
+    ``masks`` a field with digits agrees with one at its place, as a token of its own; without,
+    such fields equal nothing either.  As a template only loses fields, its first line has all that a later one can agree with: only
     templates whose first line shares a band are compared once there are many.
     """
 
-    def __init__(self, n: int, alike: float, depth: int = 0):
+    def __init__(self, n: int, alike: float, depth: int = 0, masks: bool = False):
+        self.nothing = None if masks else FIELD
         self.least, self.bands = alike * n, bands(n, depth, alike)
         self.ids: dict[str, int] = {}
         self.known = np.empty((16, n), np.int64)
@@ -115,7 +117,7 @@ class Templates:
 
     def place(self, line: list[str], name: int) -> int:
         """The name of the first line of the template that ``line`` joins (its own if it starts one)."""
-        own = np.array([-2 if t == FIELD else self.ids.get(t, -2) for t in line], np.int64)
+        own = np.array([-2 if t == self.nothing else self.ids.get(t, -2) for t in line], np.int64)
         shared = [(k, *(line[i] for i in band)) for k, band in enumerate(self.bands)]
         size = len(self.first)
         if size <= 256:
@@ -131,17 +133,16 @@ class Templates:
                 return self.first[near[best]]
         if size == len(self.known):
             self.known = np.concatenate([self.known, np.empty_like(self.known)])
-        # a line's variable field equals no template's field
-        self.known[size] = [-1 if t == FIELD else self.ids.setdefault(t, len(self.ids)) for t in line]
+        self.known[size] = [-1 if t == self.nothing else self.ids.setdefault(t, len(self.ids)) for t in line]
         for s in shared:
             self.by_band.setdefault(s, []).append(size)
         self.first.append(name)
         return name
 
 
-def parse(lines: list[list[str]], alike: float) -> list[int]:
+def parse(lines: list[list[str]], alike: float, masks: bool = False) -> list[int]:
     """Template of each line of one leaf (same token count), as the number of its first line."""
-    found = Templates(len(lines[0]) if lines else 0, alike)
+    found = Templates(len(lines[0]) if lines else 0, alike, masks=masks)
     return [found.place(line, i) for i, line in enumerate(lines)]
 
 
@@ -246,7 +247,7 @@ def drop_templates(df: DataFrame, *, key: str = "doc_id", text: str = "text", de
             out = []
             for a, line, tokens in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
                 if a != node:
-                    node, found = a, Templates(len(tokens), alike, depth)
+                    node, found = a, Templates(len(tokens), alike, depth, masks=True)
                 out.append(found.place(tokens, line))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.int64())],
                                              ["leaf", "line", "template"])

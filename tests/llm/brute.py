@@ -79,6 +79,22 @@ def parse(lines, alike):
     return out
 
 
+def parse_masks(lines, alike):
+    """As parse, but fields that both lines have masked agree."""
+    templates, out = [], []
+    for i, line in enumerate(lines):
+        score = [sum(a == b for a, b in zip(t, line)) for _, t in templates]
+        best = max(range(len(score)), key=lambda k: (score[k], -k), default=None)
+        if best is not None and score[best] >= alike * len(line):
+            first, t = templates[best]
+            templates[best] = (first, [a if a == b else None for a, b in zip(t, line)])
+        else:
+            first = i
+            templates.append((i, list(line)))
+        out.append(first)
+    return out
+
+
 def template_lines(rows, min_documents, order, depth=3, least=6, alike=0.8):
     """rows: (key, text) with distinct keys; order: sort key of a line's tokens within its leaf."""
     leaves = defaultdict(list)

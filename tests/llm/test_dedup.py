@@ -213,6 +213,32 @@ def test_short_lines_recur_too(spark, tmp_path):
     assert {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == expected
 
 
+def test_words_beside_digit_fields_are_generalised(spark, monkeypatch):
+    r = random.Random(14)
+    names = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(120)]
+    rows = []
+    for i in range(120):
+        lines = [f"2024-01-{i:02d} session opened for user {names[i]} from 10.0.0.{i} port {1000 + i}",
+                 f"2024-01-{i:02d} 10:{i:02d} the job {names[-i]} was started by the timer", prose(i, 10),
+                 "one two three " + " ".join(r.choice(["a", "b", "7"]) for _ in range(r.randint(3, 8)))]
+        rows.append((i, "\n".join(r.sample(lines, 4))))
+    monkeypatch.setattr(brute, "parse", brute.parse_masks)
+    expected = _brute_lines(rows, 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for leaf_lines in (8192, 5):
+        out = {x["doc_id"]: x for x in templates.drop_templates(df, leaf_lines=leaf_lines).collect()}
+        assert {i: x["text"] for i, x in out.items()} == expected
+        assert all(out[i]["n_dropped"] >= 2 for i in range(1, 120))
+
+
+def test_parse_with_masks_matches_brute_force():
+    r = random.Random(11)
+    for size in [30] * 100 + [1500]:
+        n = r.randint(6, 9)
+        lines = [[r.choice(["a", "b", "c", "d", "<*>"]) for _ in range(n)] for _ in range(size)]
+        assert templates.parse(lines, 0.8, masks=True) == brute.parse_masks(lines, 0.8)
+
+
 def test_template_lines_of_odd_rows(odd_docs, no_docs):
     out = templates.drop_templates(odd_docs, min_documents=2)
     rows = out.collect()
