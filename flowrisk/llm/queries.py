@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import (bpe, counts, embeddings, licenses, packing, quality, repeats, sharding, simhash,
-                          templates)
+from flowrisk.llm import (audit, bpe, counts, embeddings, licenses, packing, phrases, quality, repeats, sharding,
+                          simhash, templates, variants)
 from flowrisk.llm.common import documents, utf8_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,115 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source
 """
 
+# Every window as a string; a word goes if one of the windows that hold it is found twice.
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+m AS (SELECT md5(gram) AS h FROM g GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, i FROM g WHERE md5(gram) IN (SELECT h FROM m)),
+p AS (
+  SELECT d.doc_id, d.i, w, max(s.i) OVER (PARTITION BY d.doc_id ORDER BY d.i) AS last_start
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d) d
+  LEFT JOIN s ON d.doc_id = s.doc_id AND d.i = s.i),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (i - last_start < 35) AS n_removed,
+         string_agg(w, ' ' ORDER BY i) FILTER (coalesce(i - last_start >= 35, true)) AS kept
+  FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+# crc32 byte by byte from its polynomial's table; near words are equal once one place is left out.
+VARIANTS_SQL = r"""
+WITH RECURSIVE bits(byte, v, step) AS (
+  SELECT range, range::UBIGINT, 0 FROM range(256)
+  UNION ALL
+  SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY byte) AS tab FROM bits WHERE step = 8),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'),
+      lambda x: ('0x' || x)::UBIGINT)), lambda c, x: xor(c >> 8, tab[(1 + (xor(c, x) & 255))::BIGINT])), 4294967295::UBIGINT) AS h
+  FROM r, crc),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+              ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+v AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS part
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n
+  FROM v a JOIN v b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT v.word, w.word, w.n FROM v JOIN w ON v.part = w.word
+  UNION
+  SELECT w.word, v.word, v.n FROM v JOIN w ON v.part = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+forms AS (
+  SELECT f.word, f.n, f.n_near, f.form_n, min(near.near) AS form
+  FROM f LEFT JOIN near ON f.word = near.word AND near.near_n = f.form_n GROUP BY ALL),
+chain(word, root) AS (
+  SELECT word, word FROM forms
+  UNION ALL
+  SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN chain ON forms.word = chain.word
+JOIN forms o ON chain.root = o.word AND o.form IS NULL
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+l AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+          100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda i: chr((64 + i)::INT)), '') AS filter_order,
+             unnest(range(1, 6)) AS step FROM o),
+z AS (
+  SELECT part, filter_order, step, o[step] AS own, n, good, toxic, fails[o[step]] AS fail,
+         len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone,
+         len(list_filter(fails, lambda y: y)) AS many
+  FROM s, c),
+t AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+         coalesce(sum(n) FILTER (fail AND many = 1), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND fail AND good), 0) AS good_lost,
+         coalesce(sum(n) FILTER (NOT gone AND fail AND toxic), 0) AS toxic_lost
+  FROM z GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM t
+"""
+
 
 def register(sql: str | None = None):
     def deco(fn):
@@ -167,3 +276,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2,048 tokens."""
     pieces = packing.token_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
     return packing.pack(pieces, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register(PHRASES_SQL)
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 35-word windows that also start anywhere else."""
+    out = phrases.drop_phrases(documents(spark, sf_dir).select("doc_id", "text"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register(VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of seven letters or more, their near words and the forms that these lead to."""
+    words = variants.count_runs(documents(spark, sf_dir), least=7, every=31).where("n >= 2")
+    return variants.spelling_forms(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register(AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do at every step of all their orders, per language."""
+    return audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
