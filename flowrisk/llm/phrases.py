@@ -32,19 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowrisk.llm.common import Memo, free_name, partitions, raw_texts, utf8_size
+from flowrisk.llm.common import free_name, in_pieces, partitions, raw_texts, utf8_size
 from flowrisk.llm.repeats import sliding_least
 
 #: Words whose windows are hashed at once, and the bits that hold a place among them.
 BLOCK, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
-#: Bytes of text in a part.
-PART_BYTES = 8 << 20
+#: Bytes of text in a part, and of documents that are split into words at once.
+PART_BYTES, TEXT_BYTES = 8 << 20, 4 << 20
+#: Longest word (in bytes) that is hashed eight bytes at a time; longer ones go one by one.
+LONG_WORD = 64
 _ODD = 0x9E3779B97F4A7C15
-
-
-def _word_hash(word: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-    return xxh3_64_intdigest(word)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,16 +62,39 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-class Block:
-    """Some documents' words, their hashes, and the windows that lie within one document."""
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ``data[start:end]``; eight bytes follow the last word."""
+    size = end - start
+    at_eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    out = size.astype(np.uint64)
+    pick = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(pick):
+        own = at_eight[start[pick] + done] & _BYTES[np.minimum(size[pick] - done, 8)]
+        out[pick] = _mix((out[pick] ^ own) * np.uint64(_ODD))
+        done += 8
+        pick = pick[size[pick] > done]
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+        out[long] = [xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
 
-    def __init__(self, first: int, words: list[list[bytes]], memo: Memo, width: int, shift: list[int]):
-        self.first, self.words, self.shift = first, words, np.array(shift, np.int64)
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.hashes = np.fromiter((memo[x] for w in words for x in w), np.uint64, int(sizes.sum()))
-        self.width = width
+class Block:
+    """Some documents' words as hashes, and the windows that lie within one document."""
+
+    def __init__(self, first: int, raws: list[bytes], width: int):
+        self.first, self.width = first, width
+        self.data = b" ".join(raws) + bytes([32] * 9)
+        space = _SPACE[np.frombuffer(self.data, np.uint8)]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.append(0, edge)
+        self.start, self.end = edge[::2], edge[1::2]
+        self.hashes = word_hashes(self.data, self.start, self.end)
+        ahead = np.cumsum([0] + [len(r) + 1 for r in raws])
+        self.begins = np.searchsorted(self.start, ahead[:-1])
+        self.ends = np.searchsorted(self.start, ahead[1:])
 
     def inside(self) -> np.ndarray:
         """Whether the window that starts at each word lies within its document."""
@@ -83,17 +106,21 @@ class Block:
     def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows and anchor digit of each run."""
         ok = self.inside()
-        if not ok.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h = rolling(self.hashes, gram)
-        least = sliding_least((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), self.width - gram + 1)
-        place = (least & PLACE).astype(np.int64)
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])
-        first = np.flatnonzero(new)
-        many = np.diff(np.append(first, len(place)))
-        real = ok[first]
-        return first[real], many[real], h[place[first[real]]].view(np.int64)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        if ok.any():
+            h = rolling(self.hashes, gram)
+            for at in range(0, len(ok), BLOCK):  # equal windows have equal anchors wherever the cuts are
+                own, reach = ok[at:at + BLOCK], self.width - gram + 1
+                some = h[at:at + len(own) + reach - 1]
+                least = sliding_least((some & ~PLACE) | np.arange(len(some), dtype=np.uint64), reach)
+                place = (least & PLACE).astype(np.int64)
+                new = np.ones(len(own), bool)
+                new[1:] = (place[1:] != place[:-1]) | (own[1:] != own[:-1])
+                first = np.flatnonzero(new)
+                many = np.diff(np.append(first, len(own)))
+                real = own[first]
+                out.append((first[real] + at, many[real], some[place[first[real]]].view(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def stretch_hashes(self, first: np.ndarray, many: np.ndarray) -> np.ndarray:
         """A hash of the words of each run."""
@@ -106,32 +133,19 @@ class Block:
 
     def places(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document (by its number in the part) and word of each window."""
-        at = np.searchsorted(self.begins, first, "right") - 1
-        return self.first + at, first - self.begins[at] + self.shift[at]
-
-    def text(self, doc: int, start: int, words: int) -> bytes:
-        own = self.words[doc - self.first]
-        at = start - int(self.shift[doc - self.first])
-        return b" ".join(own[at:at + words])
-
-
-def blocks(raws: list[bytes], memo: Memo, width: int) -> Iterator[Block]:
-    """The documents' words in blocks; a longer document is a few overlapping blocks of its own."""
-    first, held, size = 0, [], 0
-    for i, raw in enumerate(raws):
-        words = raw.split()  # bytes: only ASCII white space splits
-        if held and size + len(words) > BLOCK:
-            yield Block(first, held, memo, width, [0] * len(held))
-            first, held, size = i, [], 0
-        if len(words) > BLOCK:
-            for s in range(0, len(words) - width + 1, BLOCK):
-                yield Block(i, [words[s:s + BLOCK + width - 1]], memo, width, [s])
-            first = i + 1
-        else:
-            held.append(words)
-            size += len(words)
-    if held:
-        yield Block(first, held, memo, width, [0] * len(held))
+        at = np.searchsorted(self.ends, first, "right")
+        return self.first + at, first - self.begins[at]
+
+    def texts(self, first: np.ndarray, many: np.ndarray) -> list[bytes]:
+        """The words of each run, joined by single spaces."""
+        last = first + many + self.width - 2
+        return [b" ".join(self.data[a:b].split()) for a, b in zip(self.start[first].tolist(), self.end[last].tolist())]
+
+
+def blocks(raws: list[bytes], width: int) -> Iterator[Block]:
+    """The documents in blocks of bounded size; a longer document is a block of its own."""
+    for i, j in in_pieces([len(r) for r in raws], TEXT_BYTES):
+        yield Block(i, raws[i:j], width)
 
 
 def _found(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -153,25 +167,36 @@ def window_labels(ids: np.ndarray, width: int) -> np.ndarray:
     return label
 
 
-def confirmed(contents: list[bytes], copies: np.ndarray, width: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
-    """The contents as word numbers, and the passages all of whose windows occur twice or more."""
+def confirmed(contents: list[bytes], digits: np.ndarray, copies: np.ndarray,
+              width: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """The contents as word numbers, and the passages all of whose windows occur twice or more.
+
+    Windows of contents with different digits differ, so the only content of a digit recurs as
+    a whole or not at all; windows of the others are counted.
+    """
     number: dict[bytes, int] = {}
     coded = [tuple([number.setdefault(w, len(number)) for w in c.split()]) for c in contents]
-    sizes = np.array([len(c) for c in coded])
-    ids = np.fromiter((x for c in coded for x in c), np.int64, int(sizes.sum()))
-    label = window_labels(ids, width)
-    begin = np.cumsum(sizes) - sizes
-    many = sizes - width + 1
-    owner = np.repeat(np.arange(len(coded)), many)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    label = label[begin[owner] + offset]
-    again = np.bincount(label, copies[owner])[label] > 1
-    owner, offset = owner[again], offset[again]
-    cut = np.ones(len(owner), bool)
-    cut[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
-    head = np.flatnonzero(cut)
-    tail = np.append(head[1:], len(owner)) - 1
-    passages = {coded[o][a:b + width] for o, a, b in zip(owner[head].tolist(), offset[head].tolist(), offset[tail].tolist())}
+    _, at, several = np.unique(digits, return_inverse=True, return_counts=True)
+    several = several[at] > 1
+    passages = {coded[i] for i in np.flatnonzero(~several & (copies > 1)).tolist()}
+    pick = np.flatnonzero(several)
+    if len(pick):
+        some = [coded[i] for i in pick.tolist()]
+        sizes = np.array([len(c) for c in some])
+        ids = np.fromiter((x for c in some for x in c), np.int64, int(sizes.sum()))
+        label = window_labels(ids, width)
+        begin = np.cumsum(sizes) - sizes
+        many = sizes - width + 1
+        owner = np.repeat(np.arange(len(some)), many)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        label = label[begin[owner] + offset]
+        again = np.bincount(label, copies[pick][owner])[label] > 1
+        owner, offset = owner[again], offset[again]
+        cut = np.ones(len(owner), bool)
+        cut[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
+        head = np.flatnonzero(cut)
+        tail = np.append(head[1:], len(owner))[:len(head)] - 1
+        passages |= {some[o][a:b + width] for o, a, b in zip(owner[head].tolist(), offset[head].tolist(), offset[tail].tolist())}
     return coded, list(passages)
 
 
@@ -201,9 +226,10 @@ def locate(table: pa.Table, width: int) -> pa.Table:
     of: dict[bytes, list[int]] = {}
     for i, c in enumerate(table["content"].to_pylist()):
         of.setdefault(c, []).append(i)
+    digits = table["digit"].to_numpy()[[own[0] for own in of.values()]]
     places = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in table["places"].to_pylist()]
     copies = np.array([sum(len(places[i]) for i in own) for own in of.values()], np.float64)
-    coded, passages = confirmed(list(of), copies, width)
+    coded, passages = confirmed(list(of), digits, copies, width)
     part = table["part"].to_numpy()
     out: list[np.ndarray] = []
     if passages:
@@ -246,7 +272,7 @@ def drop_phrases(df: DataFrame, *, text: str = "text", width: int = 35, gram: in
     by_part = keyed.groupBy(part_)
 
     def read(docs):
-        return blocks(raw_texts(docs[text].combine_chunks()), Memo(_word_hash), width)
+        return blocks(raw_texts(docs[text].combine_chunks()), width)
 
     def count(docs):
         digits, kinds = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -314,8 +340,8 @@ def drop_phrases(df: DataFrame, *, text: str = "text", width: int = 35, gram: in
                 many = np.concatenate([many, np.ones(len(single), np.int64)])
                 digit = np.concatenate([digit, digest[single]])
             doc, start = b.places(first)
-            for d, s, m, key in zip(doc.tolist(), start.tolist(), many.tolist(), digit.tolist()):
-                out.setdefault((key, b.text(d, s, m + width - 1)), []).extend((int(rows[d]), s))
+            for d, s, key, c in zip(rows[doc].tolist(), start.tolist(), digit.tolist(), b.texts(first, many)):
+                out.setdefault((key, c), []).extend((d, s))
         part = docs[part_][0].as_py() if len(docs) else 0
         return pa.table({"digit": pa.array([k for k, _ in out], pa.int64()),
                          "content": pa.array([c for _, c in out], pa.binary()),

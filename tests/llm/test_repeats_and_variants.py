@@ -34,11 +34,13 @@ def without_phrases(texts, width):
                                                       (12, 12, 4096, 30, 3), (9, 2, 1, 25, 40), (5, 1, 3, 1 << 20, 2)])
 def test_phrases_of_made_up_texts(spark, monkeypatch, width, gram, hot, block, few):
     monkeypatch.setattr(phrases, "BLOCK", block)
+    monkeypatch.setattr(phrases, "TEXT_BYTES", 8 * block)
     r = random.Random(width * hot)
     pool = [prose(k, r.randint(1, 2 * width), few) for k in range(12)] + ["one common line that many of the texts have", "x " * 40]
     texts = [" ".join(r.choice(pool) if r.random() < .7 else prose(i * 90 + k, 5, few) for k in range(r.randint(0, 7)))
              for i in range(90)]
     texts += [None, "", " \n\t", texts[0], texts[0], "a b " * 3 * width, "a " * (4 * width)]
+    texts += [" ".join("w" * k for k in range(60, 60 + 2 * width)) + end for end in ("", " é", "\x0b")]
     words, kept = without_phrases(texts, width)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = phrases.drop_phrases(df, width=width, gram=gram, hot=hot, parts=5).collect()
@@ -63,7 +65,8 @@ def test_automaton_finds_all_and_only_passages():
     for _ in range(40):
         contents = list({b" ".join(r.choice([b"a", b"b"]) for _ in range(r.randint(6, 14))) for _ in range(12)})
         copies = np.array([r.randint(1, 2) for _ in contents], float)
-        coded, passages = phrases.confirmed(contents, copies, 6)
+        digits = np.zeros(len(contents), np.int64)
+        coded, passages = phrases.confirmed(contents, digits, copies, 6)
         seen = Counter()
         for c, n in zip(coded, copies):
             for i in range(len(c) - 5):
