@@ -50,23 +50,29 @@ AT_ONCE = 4 << 20
 class Memo(dict):
     """Results of a function by its (text) argument, bounded: two generations of entries.
 
-    When the younger one is full it becomes the elder, so what is still in use stays known.
+    Only arguments that come a second time are kept (by a table of hashes, where two may be
+    taken for one, which costs an entry and nothing else): most different words come once.
+    When the younger generation is full it becomes the elder, so what is in use stays known.
     Long arguments are not kept.
     """
 
-    MOST, LONGEST = 550_000, 40
+    MOST, LONGEST, SEEN = 250_000, 40, 1 << 22
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make, self.elder = make, {}
+        self.make, self.elder, self.seen = make, {}, bytearray(self.SEEN)
 
     def __missing__(self, key: str):
         value = self.elder.get(key)
         if value is None:
             value = self.make(key)
+            slot = hash(key) & self.SEEN - 1
+            if not self.seen[slot]:
+                self.seen[slot] = 1
+                return value
         if len(key) <= self.LONGEST:
             if len(self) >= self.MOST:
-                self.elder = dict(self)
+                self.elder, self.seen = dict(self), bytearray(self.SEEN)
                 self.clear()
             self[key] = value
         return value

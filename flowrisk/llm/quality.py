@@ -3,13 +3,15 @@
 Every text gets plain statistics (words, symbols, repeated lines and words).  For each rule
 a log-linear histogram sketch per language and source counts the values; sketches merge by
 adding counts, so they are an ordinary partial aggregation, and a quantile read from one is
-exact up to the bucket's width (an eighth of the value).  The rules' cutoffs are fences
-around the quartiles of the row's own language and source (of the language, or of all,
-where a group has too few rows), joined back to the rows for the filter.
+exact up to the bucket's width (an eighth of the value).  A group's sketch is blended with its
+language's, and that with the corpus', by added counts: a few rows' weight of the wider sketch,
+at every size of the group.  The rules' cutoffs are fences around the quartiles of the row's own
+language and source, their reach a spread that the sketch shows; joined back for the filter.
 
 DataFrame functions only.  Scale: one pass over the texts, whose statistics are staged
 (without the text unless asked for); the sketch has a bounded number of buckets a group,
-and a hot source is pre-aggregated before it is shuffled.
+and a hot source is pre-aggregated before it is shuffled.  The thresholds, a row a group, are
+counted and broadcast where they are few, so that no text moves for them.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from pyspark.sql import functions as F
 from flowrisk.llm.common import SPACES
 from flowrisk.session import stage
 
-#: Rule -> (value of a row as a whole number, least spread of the fence, fence below as well).
-RULES: dict[str, tuple[str, int, bool]] = {
-    "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 10, False),
-    "lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 150, False),
-    "words": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150, False),
-    "length": ("word_chars * 100 div greatest(n_words, 1)", 100, True),
+#: Rule -> (value of a row as a whole number, percent at which its tail is read, least spread
+#: that can be told apart, fence below as well).
+RULES: dict[str, tuple[str, int, int, bool]] = {
+    "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 95, 10, False),
+    "lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 99, 20, False),
+    "words": ("n_repeat_words * 1000 div greatest(n_words, 1)", 99, 20, False),
+    "length": ("word_chars * 100 div greatest(n_words, 1)", 95, 20, True),
 }
-#: Rows from which a group has thresholds of its own, and spreads between quartile and fence.
-LEAST_ROWS, SPREADS = 200, 3
+#: Spreads between quartile and fence; rows that the wider sketch counts for in a blend; parts of a row.
+SPREADS, PRIOR_ROWS, UNIT = 3, 10, 1000
+#: Groups whose thresholds are broadcast (about 100 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -88,36 +93,51 @@ def sketches(df: DataFrame, groups: list[str]) -> DataFrame:
             .agg(F.count("*").alias("rows")))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """Rows, first and third quartile of every group and rule."""
+def blend(own: DataFrame, wider: DataFrame, groups: list[str], shared: list[str]) -> DataFrame:
+    """Sketches of ``groups`` with weights ``w``: their own rows, and ``PRIOR_ROWS`` of the wider sketch.
+
+    ``own`` has ``rows``; ``wider`` has weights ``w`` of sketches by ``shared``, a part of ``groups``.
+    """
+    total = Window.partitionBy(*shared, "rule")
+    prior = (wider.withColumn("total", F.sum("w").over(total))
+             .select(*[F.col(c).alias(f"_{c}") for c in shared], F.col("rule").alias("_rule"), "bucket",
+                     F.expr(f"{PRIOR_ROWS * UNIT} * w div total").alias("w")))
+    same = F.col("rule") == F.col("_rule")
+    for c in shared:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = own.select(*groups, "rule").distinct().join(prior, same).select(*groups, "rule", "bucket", "w")
+    weighed = own.select(*groups, "rule", "bucket", (F.col("rows") * UNIT).alias("w"))
+    return weighed.union(known).groupBy(*groups, "rule", "bucket").agg(F.sum("w").alias("w"))
+
+
+def spreads(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """First and third quartile (least and largest value of their buckets) of every group and
+    rule, and the spread that its fences take.
+
+    The spread is the quartiles' distance or half of the tail's from the median, whichever is larger.
+    """
     by = Window.partitionBy(*groups, "rule")
-    seen = F.sum("rows").over(by.orderBy("bucket"))
-    ranked = sketch.withColumn("seen", seen).withColumn("total", F.sum("rows").over(by))
-    at = lambda q: F.min(F.when(F.col("seen") * 4 >= F.col("total") * q, F.col("bucket")))
-    return ranked.groupBy(*groups, "rule").agg(F.max("total").alias("total"), least_of(at(1)).alias("q1"),
-                                               least_of(at(3)).alias("q3"))
+    ranked = sketch.withColumn("seen", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
+    of_rule = lambda k: F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[k])])[F.col("rule")]
+    at = lambda q: F.min(F.when(F.col("seen") * 100 >= F.col("total") * q, F.col("bucket")))
+    read = ranked.groupBy(*groups, "rule").agg(
+        least_of(at(25)).alias("q1"), least_of(at(50)).alias("q2"), least_of(at(75)).alias("q3"),
+        (least_of(at(75) + 1) - 1).alias("q3_top"), least_of(at(of_rule(1))).alias("tail"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.expr("(tail - q2) div 2"), of_rule(2).cast("long"))
+    return read.select(*groups, "rule", "q1", "q3_top", spread.alias("spread"))
 
 
 def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
     """One row per (lang, source): the fences ``<rule>_high`` and, for some rules, ``<rule>_low``."""
     keys = [lang, source]
     wide = sketch.groupBy(lang, "rule", "bucket").agg(F.sum("rows").alias("rows"))
-    all_ = wide.groupBy("rule", "bucket").agg(F.sum("rows").alias("rows"))
-    own = quartiles(sketch, keys)
-    of_lang = quartiles(wide, [lang]).select(lang, "rule", F.struct("total", "q1", "q3").alias("l"))
-    of_all = quartiles(all_, []).select("rule", F.struct("q1", "q3").alias("a"))
-    spread = F.create_map(*[F.lit(x) for r, (_, s, _) in RULES.items() for x in (r, s)])
-    lang_ = F.col(lang).eqNullSafe(F.col("_lang"))
-    best = (own.join(of_lang.withColumnRenamed(lang, "_lang").withColumnRenamed("rule", "_rule"),
-                     lang_ & (F.col("rule") == F.col("_rule"))).drop("_lang", "_rule").join(of_all, "rule"))
-    pick = lambda q: F.when(F.col("total") >= LEAST_ROWS, F.col(q)).when(
-        F.col("l.total") >= LEAST_ROWS, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
-    best = best.select(*keys, "rule", pick("q1").alias("q1"), pick("q3").alias("q3"), spread[F.col("rule")].alias("least"))
-    reach = SPREADS * F.greatest(F.col("q3") - F.col("q1"), F.col("least"))
-    best = best.select(*keys, "rule", (F.col("q3") + reach).alias("high"), (F.col("q1") - reach).alias("low"))
+    all_ = wide.groupBy("rule", "bucket").agg((F.sum("rows") * UNIT).alias("w"))
+    best = spreads(blend(sketch, blend(wide, all_, [lang], []), keys, [lang]), keys)
+    reach = SPREADS * F.col("spread")
+    best = best.select(*keys, "rule", (F.col("q3_top") + reach).alias("high"), (F.col("q1") - reach).alias("low"))
     one = lambda r, c: F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{r}_{c}")
     return best.groupBy(*keys).agg(*[one(r, "high") for r in RULES],
-                                   *[one(r, "low") for r, (_, _, below) in RULES.items() if below])
+                                   *[one(r, "low") for r, (*_, below) in RULES.items() if below])
 
 
 def apply_rules(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source",
@@ -134,9 +154,11 @@ def apply_rules(df: DataFrame, *, text: str = "text", lang: str = "lang", source
     keep = [c for c in dict.fromkeys([*carry, lang, source])]
     stats = stage(stats.select(*keep, *STATISTICS, "base_failed"), "quality")
     cuts = thresholds(sketches(stats.where("not base_failed"), [lang, source]), lang, source)
-    cuts = cuts.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source")
+    cuts = stage(cuts.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source"), "thresholds")
+    if cuts.count() <= BROADCAST_GROUPS:
+        cuts = F.broadcast(cuts)
     inside = [F.expr(v) <= F.col(f"{r}_high") for r, (v, *_) in RULES.items()]
-    inside += [F.expr(v) >= F.col(f"{r}_low") for r, (v, _, below) in RULES.items() if below]
+    inside += [F.expr(v) >= F.col(f"{r}_low") for r, (v, *_, below) in RULES.items() if below]
     good = ~F.col("base_failed")
     for rule in inside:
         good &= rule

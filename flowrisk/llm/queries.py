@@ -48,25 +48,41 @@ u AS (
 k AS (
   SELECT *, CASE WHEN v < 8 THEN v ELSE (1 << (length(bin(v)) - 4)) * (v // (1 << (length(bin(v)) - 4))) END AS low
   FROM u),
+h AS (SELECT lang, source, rule, low, count(*) AS n FROM k GROUP BY ALL),
+ha AS (SELECT rule, low, 1000 * sum(n) AS w FROM h GROUP BY ALL),
+hl AS (
+  SELECT lang, rule, low, sum(w) AS w FROM (
+    SELECT lang, rule, low, 1000 * n AS w FROM h
+    UNION ALL
+    SELECT g.lang, g.rule, low, 10000 * w // sum(w) OVER (PARTITION BY g.lang, g.rule)
+    FROM (SELECT DISTINCT lang, rule FROM h) g JOIN ha ON g.rule = ha.rule)
+  GROUP BY ALL),
+hs AS (
+  SELECT lang, source, rule, low, sum(w) AS w FROM (
+    SELECT lang, source, rule, low, 1000 * n AS w FROM h
+    UNION ALL
+    SELECT g.lang, g.source, g.rule, low, 10000 * w // sum(w) OVER (PARTITION BY g.lang, g.source, g.rule)
+    FROM (SELECT DISTINCT lang, source, rule FROM h) g
+    JOIN hl ON g.lang IS NOT DISTINCT FROM hl.lang AND g.rule = hl.rule)
+  GROUP BY ALL),
 q AS (
-  SELECT lang, source, rule, GROUPING(lang, source) AS level, count(*) AS n,
-         quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3
-  FROM k GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))),
+  SELECT s.lang, s.source, s.rule, any_value(m.least) AS least, min(low) FILTER (4 * seen >= total) AS q1,
+         min(low) FILTER (2 * seen >= total) AS q2, min(low) FILTER (4 * seen >= 3 * total) AS q3,
+         min(low) FILTER (100 * seen >= m.pct * total) AS tail
+  FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY low) AS seen,
+               sum(w) OVER (PARTITION BY lang, source, rule) AS total FROM hs) s
+  JOIN (VALUES ('symbols', 95, 10), ('lines', 99, 20), ('words', 99, 20), ('length', 95, 20)) m(rule, pct, least)
+    ON s.rule = m.rule
+  GROUP BY s.lang, s.source, s.rule),
 f AS (
-  SELECT o.lang, o.source, o.rule, m.least,
-         CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
-  FROM (SELECT * FROM q WHERE level = 0) o
-  JOIN (SELECT * FROM q WHERE level = 1) l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule
-  JOIN (SELECT * FROM q WHERE level = 3) a ON o.rule = a.rule
-  JOIN (VALUES ('symbols', 10), ('lines', 150), ('words', 150), ('length', 100)) m(rule, least) ON o.rule = m.rule),
+  SELECT * REPLACE (CASE WHEN q3 < 16 THEN q3 ELSE q3 + (1 << (length(bin(q3)) - 4)) - 1 END AS q3),
+         3 * greatest(q3 - q1, (tail - q2) // 2, least) AS reach
+  FROM q),
 c AS (
   SELECT lang, source,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'symbols') AS symbols_high,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'lines') AS lines_high,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'words') AS words_high,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (rule = 'length') AS length_high,
-         max(q1 - 3 * greatest(q3 - q1, least)) FILTER (rule = 'length') AS length_low
+         max(q3 + reach) FILTER (rule = 'symbols') AS symbols_high, max(q3 + reach) FILTER (rule = 'lines') AS lines_high,
+         max(q3 + reach) FILTER (rule = 'words') AS words_high, max(q3 + reach) FILTER (rule = 'length') AS length_high,
+         max(q1 - reach) FILTER (rule = 'length') AS length_low
   FROM f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(NOT base_failed AND v_symbols <= symbols_high AND v_lines <= lines_high AND v_words <= words_high

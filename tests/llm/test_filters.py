@@ -126,3 +126,24 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
         assert all(c == columns for c, _ in out[:-1])
     wide = odd_docs  # more columns, with clashing names
     assert all(c == wide.columns for c, _ in _stages(spark, wide, SMALL)[:-1])
+
+
+def test_sources_of_one_language_differ(spark):
+    """One text passes in a source whose sketch has such texts, and not in its neighbour."""
+    def spaced(i, every):
+        return " ".join(w + (" $" if every and k % every == 0 else "") for k, w in enumerate(prose(i, 90).split()))
+    rows = [(i, spaced(i, 0), "en", "a") for i in range(400)] + [(1000 + i, spaced(i, 5 + i % 5), "en", "b") for i in range(400)]
+    rows += [(5000, spaced(7000, 4), "en", "a"), (5001, spaced(7000, 4), "en", "b")]
+    out = quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"]: r["kept"] for r in out.where("doc_id >= 5000").collect()} == {5000: False, 5001: True}
+
+
+def test_thresholds_behave_alike_at_every_size(spark, monkeypatch):
+    """Twenty rows and twenty thousand of one make-up give one verdict; the join's form changes nothing."""
+    base = [(prose(i, 80 + i % 9) + " $" * (i % 3), "en", f"s{i % 2}") for i in range(40)]
+    few = spark.createDataFrame([(i, *r) for i, r in enumerate(base)], "doc_id long, text string, lang string, source string")
+    many = few.crossJoin(spark.range(100)).drop("id")
+    verdict = lambda df: {(r["doc_id"], r["kept"]) for r in quality.apply_rules(df).select("doc_id", "kept").distinct().collect()}
+    assert verdict(few) == verdict(many)
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert verdict(few) == verdict(many)
