@@ -7,39 +7,17 @@ on the texts and rows that the next one sees, and ``n_chars`` follows the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk.llm import packing, quality, repeats, simhash, templates
 from flowrisk.llm.queries import vocabulary
-from flowrisk.session import STAGED, drop_tables, stage
+from flowrisk.session import drop_tables, stage, staged_tables
 
 #: Tokenizer file and tokens of a packed sequence.
 TOKENIZER, CAPACITY = "word_bpe_49k.json", 2048
 
 
-#: Tables that earlier stages staged for their own use.
-_SPENT: list[str] = []
-
-
-def _step(f: Callable) -> Callable:
-    """A stage that first drops the tables of earlier ones: its ``docs`` were written and read
-    again, so nothing needs them.  The last stage's stay, for its result to read."""
-    @wraps(f)
-    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _SPENT)
-        _SPENT.clear()
-        before = len(STAGED)
-        out = f(spark, docs, sf_dir)
-        if f is not STAGES[-1][1].__wrapped__:
-            _SPENT.extend(STAGED[before:])
-        return out
-    return run_step
-
-
 #: Columns that the stages read; any others travel under names that clash with nothing.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,32 +33,27 @@ def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*_aside(docs).columns).toDF(*docs.columns)
 
 
-@_step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language and source's thresholds."""
     return _restored(quality.apply_rules(_aside(docs)).where("kept"), docs)
 
 
-@_step
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs (but for its first line)."""
     return _restored(templates.drop_templates(_aside(docs), min_documents=10, short_lines=True), docs)
 
 
-@_step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 4 or fewer bits of the SimHash link: the least doc_id."""
     prints = simhash.simhash(_aside(docs).withColumn("_hashed", F.col("text")), "_hashed", shingle=4, seed=42)
     return _restored(simhash.near_duplicates(prints, radius=4).where("kept"), docs)
 
 
-@_step
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the 100-byte strings that also start earlier."""
     return _restored(repeats.drop_repeats(_aside(docs), width=100, as_text=True), docs)
 
 
-@_step
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, placed in sequences of at most ``CAPACITY`` tokens."""
     return packing.pack(packing.token_pieces(docs, vocabulary(TOKENIZER), CAPACITY), CAPACITY)
@@ -99,8 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table: the packed pieces."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole ``documents`` table: the packed pieces.
+
+    A stage's own tables, and its input, go once its result is written and read again; what the
+    last stage stages stays for the result to read.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name, listed=False)
+        with staged_tables() as spent:
+            out = step(spark, docs, sf_dir)
+        with staged_tables() as kept:
+            docs = stage(out, name)
+        drop_tables(spark, spent + before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)

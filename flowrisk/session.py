@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -14,7 +16,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.sql.legacy.javaCharsets": "true",
     # (spark.sql.codegen.maxFields left at its default: wide window projections above
     #  it run faster outside whole-stage codegen than as huge generated methods)
 }
@@ -53,24 +54,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
-#: Tables that ``stage`` has written in this process, oldest first.
-STAGED: list[str] = []
+#: The lists that collect what ``stage`` writes, innermost last (see ``staged_tables``).
+_COLLECTORS: ContextVar[tuple[list[str], ...]] = ContextVar("staged", default=())
 
 
-def stage(df, name: str = "stage", listed: bool = True):
+@contextmanager
+def staged_tables():
+    """The paths that ``stage`` writes within the block, for their owner to drop.
+
+    They belong to whoever opened the block; tables staged outside of any block stay.
+    """
+    own: list[str] = []
+    outer = _COLLECTORS.set((*_COLLECTORS.get(), own))
+    try:
+        yield own
+    finally:
+        _COLLECTORS.reset(outer)
+
+
+def stage(df, name: str = "stage"):
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts long lineages (and the plan size) where a result is reused several times;
-    the written table survives executor loss, unlike cached blocks.  ``listed`` tables can
-    be dropped by ``drop_tables`` once nothing reads them any more.
+    the written table survives executor loss, unlike cached blocks.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    if listed:
-        STAGED.append(path)
+    for own in _COLLECTORS.get():
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,5 +94,3 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
-        if p in STAGED:
-            STAGED.remove(p)

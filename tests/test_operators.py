@@ -278,3 +278,11 @@ def test_training_fits_every_station(spark):
     from flowrisk.plans.training import training_folds
     rows = training_folds(spark, SF).where("usable").select("event_type").distinct().collect()
     assert len(rows) == 5
+
+
+def test_windows_1252_of_every_byte(spark):
+    from flowrisk.sources.reports import decode_text
+    defined = bytes(b for b in range(0x80, 0x100) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    rows = [(defined,), (bytes(range(0x80, 0x100)),), ("﻿dépth".encode(),), ("é".encode(),), (b"",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "content binary").select(decode_text("content")).collect()]
+    assert got == [defined.decode("cp1252"), bytes(range(0x80, 0x100)).decode("latin-1"), "dépth", "é", "", None]
