@@ -147,3 +147,11 @@ def test_thresholds_behave_alike_at_every_size(spark, monkeypatch):
     assert verdict(few) == verdict(many)
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
     assert verdict(few) == verdict(many)
+
+
+def test_two_stage_results_live_at_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a = corpus_pipeline.line_dedup(spark, docs.where("doc_id < 100"), SMALL)
+    b = corpus_pipeline.line_dedup(spark, docs.where("doc_id >= 100"), SMALL)
+    assert a.count() + b.count() == docs.count()
+    assert a.select("text").collect() and b.select("text").collect()
