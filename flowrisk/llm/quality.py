@@ -8,8 +8,9 @@ language's, and that with the corpus', by added counts: a few rows' weight of th
 at every size of the group.  The rules' cutoffs are fences around the quartiles of the row's own
 language and source, their reach a spread that the sketch shows; joined back for the filter.
 
-DataFrame functions only.  Scale: one pass over the texts, whose statistics are staged
-(without the text unless asked for); the sketch has a bounded number of buckets a group,
+DataFrame functions only.  Scale: one pass over the texts, whose narrow statistics are staged;
+where the text is asked for as well the texts are read a second time, which costs less disk
+than to write them once more.  The sketch has a bounded number of buckets a group,
 and a hot source is pre-aggregated before it is shuffled.  The thresholds, a row a group, are
 counted and broadcast where they are few, so that no text moves for them.
 """
@@ -152,7 +153,9 @@ def apply_rules(df: DataFrame, *, text: str = "text", lang: str = "lang", source
     used = dict.fromkeys([*carry, text, lang, source])
     stats = add_statistics(df.select(*used), text)
     keep = [c for c in dict.fromkeys([*carry, lang, source])]
-    stats = stage(stats.select(*keep, *STATISTICS, "base_failed"), "quality")
+    stats = stats.select(*keep, *STATISTICS, "base_failed")
+    if text not in keep:
+        stats = stage(stats, "quality")
     cuts = thresholds(sketches(stats.where("not base_failed"), [lang, source]), lang, source)
     cuts = stage(cuts.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source"), "thresholds")
     if cuts.count() <= BROADCAST_GROUPS:
