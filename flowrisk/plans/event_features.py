@@ -17,6 +17,9 @@ interior gaps are filled up to a limit (W17) before the windows run.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +92,30 @@ def stretched(ev: DataFrame, factor: int) -> DataFrame:
     return ev.withColumn("ts", F.timestamp_micros(start + (micros - start) * factor).cast("timestamp_ntz"))
 
 
+#: Features that look at the horizon; all others are the same for every horizon.
+OF_HORIZON = ("fill_ratio_target", "rainfall_sum_horizon", "rainfall_max_horizon", "is_raining",
+              *(f.name for f in calendar(C.time, HORIZON_H)))
+
+
+def horizon_catalogue(horizons: Sequence[float]) -> list[Feat]:
+    """The catalogue with one column for each horizon (``name__H``) of the features that look at it."""
+    feats = [f for f in catalogue(horizons[0], FREQ_MIN, c=C) if f.name not in OF_HORIZON]
+    for h in horizons:
+        for f in catalogue(h, FREQ_MIN, c=C):
+            if f.name in OF_HORIZON:
+                source = f"{f.col}__{h}" if f.col in OF_HORIZON else f.col
+                feats.append(replace(f, name=f"{f.name}__{h}", col=source))
+    return feats
+
+
 def panel(spark: SparkSession, sf_dir: str, horizon_hours: float = HORIZON_H,
           bucket_rows: int = 1 << 16, fit: bool = True, stretch: int = 1,
-          dry: bool = False) -> tuple[DataFrame, list[Feat]]:
-    """The 10-minute panel with all features.  ``stretch`` lengthens the event history;
+          dry: bool = False, feats: list[Feat] | None = None) -> tuple[DataFrame, list[Feat]]:
+    """The 10-minute panel with all features (``feats``: others than one horizon's catalogue).  ``stretch`` lengthens the event history;
     ``dry`` adds a dry-weather flow of 1 to every slot and a velocity of 0 to those without
     events, so that complete rows exist wherever the windows are full."""
     ev = stretched(table(spark, sf_dir, "events").select("ts", KEY, "value", "props"), stretch)
-    feats = catalogue(horizon_hours, FREQ_MIN, c=C)
+    feats = feats or catalogue(horizon_hours, FREQ_MIN, c=C)
     lb, la = halo_of(feats)
     halo = HaloSpec(bucket_rows, lb, la)
     halo = halo.fitted() if fit else halo

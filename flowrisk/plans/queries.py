@@ -12,6 +12,7 @@ from flowrisk.plans import scoring as sc
 from flowrisk.plans import selection as slq
 from flowrisk.plans import supplier_panel as spq
 from flowrisk.plans import training as trq
+from flowrisk.plans import model_runs as mrq
 from flowrisk.plans import monitors as moq
 from flowrisk.plans import readings_sync as rsq
 from flowrisk.plans import gridpoints as gpq
@@ -122,6 +123,13 @@ def long_window_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spq.long_window_table(spark, sf_dir)
 
 
+@register("fitted_model_scores", mrq.fitted_model_scores_sql())
+def fitted_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7-M15, S16, J8 for all five horizons: fold models stored, reloaded and scored; runs
+    that the manifest has are not fitted again."""
+    return mrq.fitted_model_scores(spark, sf_dir)
+
+
 @register("exceedance_model_metrics")
 def exceedance_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold-trained classifiers, conformal calibration and the 3-model metric table

@@ -17,6 +17,11 @@ def _write(df: DataFrame, path: str, parts, fmt: str = "parquet") -> None:
     w.option("header", True).format(fmt).save(path)
 
 
+def write_partitions(df: DataFrame, path: str, parts) -> None:
+    """A table partitioned by ``parts``; only the partitions that ``df`` has are replaced."""
+    _write(df, path, parts)
+
+
 def write_metric_matrix(metrics_long: DataFrame, path: str) -> None:
     """(section, metric) x model matrix per (station, horizon), as CSV files."""
     wide = metrics_long.groupBy("station_id", "horizon_hours", "section", "metric") \
