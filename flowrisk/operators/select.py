@@ -121,6 +121,20 @@ def group_representatives(groups: DataFrame, imp: DataFrame, feature: str = "fea
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key_cols: Sequence[str]) -> DataFrame:
-    """T5: at most ``n`` rows, those with the least MD5 of the seed and ``key_cols``."""
+    """T5: at most ``n`` rows, those with the least MD5 of the seed and ``key_cols``.
+
+    Rows are counted by the hash's first four digits (65,536 counts at most); the final order
+    sees those up to the digits that the ``n``-th row has, ``n`` and one such bin at most, and
+    not ``n`` rows of every task.
+    """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in key_cols]).cast("binary"))
-    return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
+    hashed = df.withColumn("_h", h)
+    head = F.substring("_h", 1, 4)
+    cut, seen = None, 0
+    for r in sorted(hashed.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        cut, seen = r["head"], seen + r["n"]
+        if seen >= n:
+            break
+    if cut is not None:
+        hashed = hashed.where(head <= cut)
+    return hashed.orderBy("_h", *key_cols).limit(n).drop("_h")

@@ -156,13 +156,6 @@ def fitted_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         *KEYS, "n_test", "n_scored", "n_outside", "n_folds", "n_fitted", "run", "reload_diff")
 
 
-def fitted_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M13, M14 of the stored models: the metric table of 5 stations x 5 horizons."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
-    scored, _ = run_all(spark, sf_dir, root)
-    return metric_table(scored.select(*KEYS, "model", "y", "p", "pred"), KEYS)
-
-
 def fitted_model_scores_sql() -> str:
     """Rows, usable folds and runs; every row is scored, and reloading changes nothing."""
     parts = []
