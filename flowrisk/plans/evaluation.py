@@ -1,7 +1,9 @@
 """Evaluation plan (E3) over a metric table that Spark derives from ``events``.
 
-Stations are event types; for horizons 1, 6, 24 hours the target is the maximum fill
-ratio over the next H hours (W3) and ``y = target > 0.5`` (P8).  Three scores:
+Stations are event types; for every horizon (1, 6, 24, 168 and 720 hours) the target is the
+maximum fill ratio over the next H hours (W3) and ``y = target > 0.5`` (P8).  The event
+history is lengthened threefold, since 720-hour targets need more than its 30 days, and an
+hour without events has no load.  Three scores:
 
 * Persistence: current fill ratio clipped to [0, 1], decision ``p >= 0.5`` (M13)
 * EnsembleClassifier: 24-hour trailing maximum, decision ``p >= 0.5``
@@ -21,35 +23,39 @@ from flowrisk.operators import evaluate as ev
 from flowrisk.operators.metrics import decide, exceed, metric_table, persistence_prob
 from flowrisk.operators.windows import Feat
 from flowrisk.plans import event_panel as ep
+from flowrisk.plans.event_features import STRETCH_FROM
 from flowrisk.session import stage
 
-HORIZONS = (1, 6, 24)
+HORIZONS = (1, 6, 24, 168, 720)
+STRETCH = 3
 THRESHOLD = 0.5
 KEYS = ["station_id", "horizon_hours"]
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def horizon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete rows (P6) of every station and horizon (J7): target, fill ratio, 24-hour maximum."""
     feats = [Feat(f"target_{h}", "next_max", "fill_ratio", h) for h in HORIZONS]
     feats.append(Feat("mx24", "trail_max", "fill_ratio", 24))
-    p = ep.fill_panel(spark, sf_dir, feats)
-    # Entity x horizon expansion
+    p = ep.fill_panel(spark, sf_dir, feats, stretch=STRETCH, empty=0.0)
     hz = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"target_{h}").alias("t"))
                              for h in HORIZONS]))
-    lg = p.select(F.col("event_type").alias("station_id"), "fill_ratio", "mx24", hz.alias("_x"))
-    lg = lg.select("station_id", F.col("_x.h").alias("horizon_hours"), "fill_ratio", "mx24",
+    lg = p.select(F.col("event_type").alias("station_id"), "rn", "time", "fill_ratio", "mx24", hz.alias("_x"))
+    lg = lg.select("station_id", F.col("_x.h").alias("horizon_hours"), "rn", "time", "fill_ratio", "mx24",
                    F.col("_x.t").alias("target"))
-    lg = lg.dropna(subset=["target", "fill_ratio", "mx24"])       # P6 complete rows
-    lg = lg.withColumn("y", exceed("target", THRESHOLD))
+    return lg.dropna(subset=["target", "fill_ratio", "mx24"])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lg = horizon_rows(spark, sf_dir).withColumn("y", exceed("target", THRESHOLD))
     pers = persistence_prob("fill_ratio")
     ens = persistence_prob("mx24")
     parts = [("Persistence", pers, decide(pers, THRESHOLD)),
              ("EnsembleClassifier", ens, decide(ens, THRESHOLD)),
              ("ConformalEnsemble", ens, decide(ens, 0.6))]
-    out = None
-    for name, prob, pred in parts:
-        s = lg.select(*KEYS, F.lit(name).alias("model"), "y", prob.alias("p"), pred.alias("pred"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    # one row per model from one pass over the windowed panel
+    models = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), prob.alias("p"), pred.alias("pred"))
+                                for name, prob, pred in parts]))
+    return lg.select(*KEYS, "y", models)
 
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,22 +101,26 @@ _TARGETS = ",\n    ".join(f"{_guard(f'1 FOLLOWING AND {h} FOLLOWING', h)} AS tar
 _CASE = " ".join(f"WHEN {h} THEN target_{h}" for h in HORIZONS)
 _CLIP = "least(greatest({}, 0.0), 1.0)"
 
-METRICS_LONG_SQL = f"""
-WITH hourly AS (
+FEATURES_SQL = f"""
+WITH ev AS (SELECT TIMESTAMP '{STRETCH_FROM}' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '{STRETCH_FROM}'))
+                   * {STRETCH}) AS ts, event_type, value FROM events),
+hourly AS (
   SELECT event_type, date_trunc('hour', ts) AS t, sum(round(value * 100)) / 100.0 AS load
-  FROM events GROUP BY 1, 2),
+  FROM ev GROUP BY 1, 2),
 cap AS (SELECT event_type, max(load) AS capacity, min(t) AS t0, max(t) AS t1 FROM hourly GROUP BY 1),
 grid AS (SELECT event_type, capacity, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS t FROM cap),
-panel AS (SELECT g.event_type, g.t, h.load / g.capacity AS fill_ratio
+panel AS (SELECT g.event_type, g.t, coalesce(h.load, 0) / g.capacity AS fill_ratio
           FROM grid g LEFT JOIN hourly h ON h.event_type = g.event_type AND h.t = g.t),
 feat AS (SELECT event_type, t, fill_ratio,
     {_TARGETS},
     {_guard('23 PRECEDING AND CURRENT ROW', 24)} AS mx24
   FROM panel),
-lg AS (SELECT event_type AS station_id, hz.horizon_hours, fill_ratio, mx24,
+lg AS (SELECT event_type AS station_id, hz.horizon_hours, t, fill_ratio, mx24,
               CASE hz.horizon_hours {_CASE} END AS target
        FROM feat CROSS JOIN (VALUES {", ".join(f"({h})" for h in HORIZONS)}) hz(horizon_hours)),
-base AS (SELECT station_id, horizon_hours, fill_ratio, mx24,
+"""
+
+METRICS_LONG_SQL = FEATURES_SQL + f"""base AS (SELECT station_id, horizon_hours, fill_ratio, mx24,
                 CASE WHEN target > {THRESHOLD} THEN 1 ELSE 0 END AS y
          FROM lg WHERE target IS NOT NULL AND fill_ratio IS NOT NULL AND mx24 IS NOT NULL),
 s AS (

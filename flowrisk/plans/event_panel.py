@@ -14,14 +14,15 @@ from flowrisk.functions.columns import rnd, safe_div
 from flowrisk.operators.grid import regular_grid
 from flowrisk.operators.halo import HaloSpec
 from flowrisk.operators.windows import Feat, compute_features, halo_of
+from flowrisk.plans.event_features import stretched
 from flowrisk.sources.tables import table
 
 KEY = "event_type"
 TIME = "time"
 
 
-def hourly_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def hourly_load(spark: SparkSession, sf_dir: str, stretch: int = 1) -> DataFrame:
+    ev = stretched(table(spark, sf_dir, "events"), stretch)
     return (ev.groupBy(KEY, F.date_trunc("hour", "ts").alias(TIME))
             .agg((F.sum(F.round(F.col("value") * 100)) / F.lit(100.0)).alias("load"),
                  F.count(F.lit(1)).alias("n_events")))
@@ -33,12 +34,17 @@ def capacity(load: DataFrame) -> DataFrame:
 
 
 def fill_panel(spark: SparkSession, sf_dir: str, feats: list[Feat],
-               bucket_rows: int = 1 << 16, fit: bool = True) -> DataFrame:
-    load = hourly_load(spark, sf_dir)
+               bucket_rows: int = 1 << 16, fit: bool = True, stretch: int = 1,
+               empty: float | None = None) -> DataFrame:
+    """The hourly panel with ``feats``.  ``stretch`` lengthens the event history; ``empty`` is
+    the load of an hour without events (unknown unless given)."""
+    load = hourly_load(spark, sf_dir, stretch)
     lb, la = halo_of(feats)
     halo = HaloSpec(bucket_rows, lb, la)
     halo = halo.fitted() if fit else halo
     g = regular_grid(load.select(KEY, TIME, "load"), KEY, TIME, 3600, halo)
+    if empty is not None:
+        g = g.fillna(empty, ["load"])
     g = g.join(capacity(load), KEY).withColumn(
         "fill_ratio", safe_div(F.col("load"), F.col("capacity")))
     return compute_features(g.drop("capacity"), KEY, feats, step_hours=1.0)

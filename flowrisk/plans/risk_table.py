@@ -1,6 +1,6 @@
 """Risk table on the hourly event panel.
 
-Stations are event types, horizons 1/6/24 h.  Calibration scores come from the
+Stations are event types, the horizons those of the evaluation.  Calibration scores come from the
 training part (first 80 % of rows) with the 24-hour trailing maximum as probability;
 the hold-out rows are scored by the best model of their (station, horizon) (J10, M15):
 persistence uses the clipped fill ratio, the ensembles the clipped trailing maximum.
@@ -16,25 +16,14 @@ from flowrisk.operators import cv
 from flowrisk.operators import evaluate as ev
 from flowrisk.operators import risk as rk
 from flowrisk.operators.metrics import exceed, persistence_prob
-from flowrisk.operators.windows import Feat
 from flowrisk.plans import evaluation as evq
-from flowrisk.plans import event_panel as ep
 from flowrisk.session import stage
 
-HORIZONS = evq.HORIZONS
 KEYS = ["station_id", "horizon_hours"]
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = [Feat(f"target_{h}", "next_max", "fill_ratio", h) for h in HORIZONS]
-    feats.append(Feat("mx24", "trail_max", "fill_ratio", 24))
-    p = ep.fill_panel(spark, sf_dir, feats)
-    hz = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"target_{h}").alias("t"))
-                             for h in HORIZONS]))
-    lg = p.select(F.col("event_type").alias("station_id"), "rn", "time", "fill_ratio", "mx24",
-                  hz.alias("_x")).select("station_id", F.col("_x.h").alias("horizon_hours"), "rn",
-                                         "time", "fill_ratio", "mx24", F.col("_x.t").alias("target"))
-    lg = lg.dropna(subset=["target", "fill_ratio", "mx24"])
+    lg = evq.horizon_rows(spark, sf_dir)
     return cv.holdout(cv.ordinal(lg, KEYS, "rn", F.floor(F.col("rn") / 4096)), 0.2)
 
 
@@ -80,10 +69,7 @@ _CLIP = "least(greatest({}, 0.0), 1.0)"
 RISK_SQL = evq.METRICS_LONG_SQL + _BEST + "," + _CMP + f""",
 rate AS (SELECT horizon_hours, model, 100.0 * avg(CAST(beat_persistence AS DOUBLE)) AS beat_rate_pct
          FROM cmp GROUP BY 1, 2),
-rl AS (SELECT event_type AS station_id, hz.horizon_hours, t AS time, fill_ratio, mx24,
-              CASE hz.horizon_hours WHEN 1 THEN target_1 WHEN 6 THEN target_6 ELSE target_24 END AS target
-       FROM feat CROSS JOIN (VALUES (1), (6), (24)) hz(horizon_hours)),
-rc AS (SELECT * FROM rl WHERE target IS NOT NULL AND fill_ratio IS NOT NULL AND mx24 IS NOT NULL),
+rc AS (SELECT * RENAME (t AS time) FROM lg WHERE target IS NOT NULL AND fill_ratio IS NOT NULL AND mx24 IS NOT NULL),
 ri AS (SELECT *, row_number() OVER (PARTITION BY station_id, horizon_hours ORDER BY time) - 1 AS row_idx,
               count(*) OVER (PARTITION BY station_id, horizon_hours) AS n_rows FROM rc),
 rh AS (SELECT *, row_idx >= CAST(floor(n_rows * 0.8) AS BIGINT) AS is_test FROM ri),

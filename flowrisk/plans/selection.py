@@ -1,7 +1,7 @@
 """Splits, conformal calibration and feature selection on driver tables.
 
 * temporal hold-out / forward folds (M1, M2, W18) on the hourly event panel
-* conformal threshold (A15, M10, M11) per station and horizon on training rows
+* conformal threshold (A15, M10, M11) per station and horizon (the evaluation's five) on training rows
 * correlation matrix (A14), importance filter (M5), correlation groups (M6) and
   representatives (T3, T4) on ``lineitem`` features, importance = |corr with charge|
 """
@@ -17,6 +17,7 @@ from flowrisk.operators import cv
 from flowrisk.operators import select as sel
 from flowrisk.operators.metrics import exceed, persistence_prob
 from flowrisk.operators.windows import Feat
+from flowrisk.plans import evaluation as evq
 from flowrisk.plans import event_panel as ep
 from flowrisk.session import stage
 from flowrisk.sources.tables import table
@@ -24,11 +25,10 @@ from flowrisk.sources.tables import table
 TEST_FRAC = 0.2
 N_SPLITS = 5
 ALPHA = 0.10
-HORIZONS = (1, 6, 24)
 
 
 def _complete_panel(spark, sf_dir):
-    feats = [Feat(f"target_{h}", "next_max", "fill_ratio", h) for h in HORIZONS]
+    feats = [Feat(f"target_{h}", "next_max", "fill_ratio", h) for h in (1, 6, 24)]
     feats.append(Feat("mx24", "trail_max", "fill_ratio", 24))
     p = ep.fill_panel(spark, sf_dir, feats)
     return stage(p.dropna(subset=["fill_ratio", "mx24", "target_6"]), "panel")
@@ -54,12 +54,7 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _complete_panel(spark, sf_dir)
-    hz = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"target_{h}").alias("t"))
-                             for h in HORIZONS]))
-    lg = p.select(F.col("event_type").alias("station_id"), "rn", "mx24", hz.alias("_x")) \
-          .select("station_id", F.col("_x.h").alias("horizon_hours"), "rn", "mx24",
-                  F.col("_x.t").alias("target")).dropna(subset=["target"])
+    lg = evq.horizon_rows(spark, sf_dir)
     keys = ["station_id", "horizon_hours"]
     lg = cv.holdout(cv.ordinal(lg, keys, "rn", F.floor(F.col("rn") / 4096)), TEST_FRAC)
     train = lg.where(~F.col("is_test")).select(*keys, exceed("target", 0.5).alias("y"),
@@ -148,18 +143,12 @@ SELECT event_type, CAST(fold AS INTEGER) AS fold, role, count(*) AS n, min(row_i
        max(row_idx) AS last_idx
 FROM rx WHERE role IS NOT NULL GROUP BY 1, 2, 3"""
 
-CONFORMAL_SQL = _PANEL_SQL.replace(
-    "cp AS (SELECT * FROM feat WHERE fill_ratio IS NOT NULL AND mx24 IS NOT NULL AND target_6 IS NOT NULL)",
-    "cp0 AS (SELECT * FROM feat WHERE fill_ratio IS NOT NULL AND mx24 IS NOT NULL AND target_6 IS NOT NULL),"
-    " cp AS (SELECT event_type, t, mx24, h.horizon_hours, CASE h.horizon_hours WHEN 1 THEN target_1"
-    " WHEN 6 THEN target_6 ELSE target_24 END AS target FROM cp0 CROSS JOIN (VALUES (1), (6), (24))"
-    " h(horizon_hours))").replace(
-    "row_number() OVER (PARTITION BY event_type ORDER BY t) - 1 AS row_idx,\n"
-    "              count(*) OVER (PARTITION BY event_type) AS n_rows FROM cp",
-    "row_number() OVER (PARTITION BY event_type, horizon_hours ORDER BY t) - 1 AS row_idx,\n"
-    "              count(*) OVER (PARTITION BY event_type, horizon_hours) AS n_rows FROM cp"
-    " WHERE target IS NOT NULL") + f"""
-, tr AS (SELECT event_type AS station_id, horizon_hours,
+CONFORMAL_SQL = evq.FEATURES_SQL + f"""
+cp AS (SELECT * FROM lg WHERE target IS NOT NULL AND fill_ratio IS NOT NULL AND mx24 IS NOT NULL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY station_id, horizon_hours ORDER BY t) - 1 AS row_idx,
+              count(*) OVER (PARTITION BY station_id, horizon_hours) AS n_rows FROM cp),
+hx AS (SELECT *, CAST(floor(n_rows * (1.0 - {TEST_FRAC!r})) AS BIGINT) AS n_train FROM ix)
+, tr AS (SELECT station_id, horizon_hours,
                 CASE WHEN target > 0.5 THEN 1 ELSE 0 END AS y,
                 least(greatest(mx24, 0.0), 1.0) AS p FROM hx WHERE row_idx < n_train),
 sc AS (SELECT station_id, horizon_hours, y, CASE WHEN y = 1 THEN 1.0 - p ELSE p END AS s FROM tr),
