@@ -8,7 +8,7 @@ import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,14 +96,20 @@ UNION ALL SELECT 'rejects', 2, NULL, NULL, NULL, NULL
 
 
 # ------------------------------------------------------------------------ S12, D2, J1
+#: Readings in one envelope, at most.
+ENVELOPE_ITEMS = 1000
+
+
 def envelope_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading envelopes (one JSON text per type and day) parsed to rows (S12, F13), the first
-    reading of each hour (D2) joined to the hours of the ``click`` events (J1)."""
+    """Reading envelopes (JSON texts of at most ``ENVELOPE_ITEMS`` readings of a type and minute) parsed
+    to rows (S12, F13), the first reading of each hour (D2) joined to the hours of the ``click`` events (J1)."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
     item = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("dateTime"), "value",
                     F.lit("Good").alias("valueQualifier"))
-    texts = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(
-        F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("text")).drop("day")
+    minute = F.date_trunc("minute", "ts")
+    number = F.row_number().over(Window.partitionBy("event_type", minute).orderBy("ts"))
+    texts = e.withColumn("part", F.floor((number - 1) / ENVELOPE_ITEMS)).groupBy("event_type", minute.alias("minute"), "part").agg(
+        F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("text")).drop("minute", "part")
     rows = rd.parse_envelope(texts, "text").where(F.col("valueQualifier") == "Good").drop("valueQualifier")
     hour = F.date_trunc("hour", "time")
     first = keep_first_per_time(rows.select("event_type", hour.alias("hour"), F.struct("time", "value").alias("at"), "value"),
