@@ -158,7 +158,8 @@ def apply_rules(df: DataFrame, *, text: str = "text", lang: str = "lang", source
         stats = stage(stats, "quality")
     else:  # a generator, so that the optimizer does not copy the statistics into every rule
         stats = stats.select(*keep, F.inline(F.array(F.struct(*STATISTICS, "base_failed"))))
-    cuts = thresholds(sketches(stats.where("not base_failed"), [lang, source]), lang, source)
+    sketch = stage(sketches(stats.where("not base_failed"), [lang, source]), "sketches")  # read three times
+    cuts = thresholds(sketch, lang, source)
     cuts = stage(cuts.withColumnRenamed(lang, "_lang").withColumnRenamed(source, "_source"), "thresholds")
     if cuts.count() <= BROADCAST_GROUPS:
         cuts = F.broadcast(cuts)
