@@ -38,6 +38,8 @@ class Quantised:
     """Unit vectors, their int8 form, scales and error bounds."""
 
     def __init__(self, vectors: np.ndarray):
+        # by a power of two, which is exact, so that squares neither overflow nor vanish
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         self.unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         self.scale = np.abs(self.unit).max(axis=1) / 127
         self.int8 = np.rint(self.unit / self.scale[:, None]).astype(np.int8)

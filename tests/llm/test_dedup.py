@@ -280,6 +280,13 @@ def test_embedding_groups(spark, block):
     _same_links(data, embeddings.cosine_groups(df, threshold=0.9, block=block).collect(), 0.9)
 
 
+def test_embeddings_of_extreme_size(spark):
+    data = [[1e200, 0.0], [1e200, 1.0], [1e-200, 0.0], [2e-200, 0.0], [1.0, 0.0], [0.0, 1e-320], [0.0, -1.7e308]]
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.cosine_groups(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (0, 5), 6: (0, 6)}
+
+
 def test_embeddings_without_rows_or_keys(spark):
     kind = "vec_id long, embedding array<float>"
     assert embeddings.cosine_groups(spark.createDataFrame([], kind)).collect() == []
