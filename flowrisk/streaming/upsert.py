@@ -5,8 +5,8 @@ of one reading; state bounded by the watermark, and readings older than it are d
 ``foreachBatch``: each micro-batch is merged into the target table by (key, time), the
 latest arrival winning.  A reading that is late but within the watermark is merged like any
 other.  The target is partitioned by key and day, and a batch reads and rewrites only the
-(key, day) partitions that it touches (dynamic partition overwrite), whatever the length of
-the history; the merged partitions are first staged in the checkpoint folder so a partition
+(key, day) partitions that it touches (a pruned join, dynamic partition overwrite), whatever the
+length of the history; the merged partitions are first staged in the checkpoint folder so a partition
 is never read and overwritten by the same job.
 """
 
@@ -33,6 +33,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 DAY, ARRIVAL = "day", "arrival"
 
 
+def partitions_listed(old: DataFrame, listed: DataFrame, parts: list[str]) -> DataFrame:
+    """The rows of ``old``, partitioned by ``parts`` (the last one a date), in the partitions that
+    ``listed`` names; null is a partition value like any other.
+
+    A join, so the plan is the same for any number of partitions.  The first and last date prune
+    the scan from the start, the join's values prune it at run time where ``listed`` is small
+    enough for the planner to broadcast; a longer list is joined by a shuffle.
+    """
+    day = parts[-1]
+    first, last = listed.agg(F.min(day), F.max(day)).first()
+    known = F.lit(True)
+    for c in parts:
+        known &= F.col(c).isNotNull()
+    span = F.col(day).between(first, last)
+    whole = old.where(known & span).join(listed.where(known & span), parts, "left_semi")
+    other = listed.where(~known)
+    same = F.lit(True)
+    for c in parts:
+        same &= old[c].eqNullSafe(other[c])
+    return whole.unionByName(old.where(~known).join(other, same, "left_semi"))
+
+
 def merge_batch(batch: DataFrame, batch_id: int, target: str, keys: list[str], time: str) -> None:
     """Merge one micro-batch by (keys, time); equal times within it go to the largest values."""
     spark = batch.sparkSession
@@ -42,14 +64,8 @@ def merge_batch(batch: DataFrame, batch_id: int, target: str, keys: list[str], t
         kinds = T.StructType([f for f in new.schema.fields if f.name not in (*keys, DAY)]
                              + [new.schema[c] for c in (*keys, DAY)])
         old = spark.read.schema(kinds).parquet(target)
-        touched = [tuple(r) for r in new.select(*keys, DAY).distinct().collect()]  # partitions of one batch
-        match = F.lit(False)
-        for values in touched:                                   # literals: prunes the partitions listed
-            one = F.lit(True)
-            for c, v in zip([*keys, DAY], values):
-                one &= F.col(c).eqNullSafe(F.lit(v))
-            match |= one
-        new = old.where(match).unionByName(new)
+        listed = stage(new.select(*keys, DAY).distinct(), "touched")
+        new = partitions_listed(old, listed, [*keys, DAY]).unionByName(new)
     others = [c for c in cols if c not in keys and c not in (time, ARRIVAL)]
     best = F.max(F.struct(ARRIVAL, *others)).alias("_r")
     merged = new.groupBy(*keys, DAY, time).agg(best).select(

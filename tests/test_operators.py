@@ -286,3 +286,25 @@ def test_windows_1252_of_every_byte(spark):
     rows = [(defined,), (bytes(range(0x80, 0x100)),), ("﻿dépth".encode(),), ("é".encode(),), (b"",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "content binary").select(decode_text("content")).collect()]
     assert got == [defined.decode("cp1252"), bytes(range(0x80, 0x100)).decode("latin-1"), "dépth", "é", "", None]
+
+
+def test_merge_joins_the_touched_partitions(spark, tmp_path):
+    """Batches merge by key and day, null keys and times too; the plan does not grow with the batch."""
+    from flowrisk.streaming import upsert
+    kind = "k string, ts timestamp, v double"
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    target = f"{tmp_path}/t"
+    first = [("a", at(1, 0), 1.0), ("a", at(2, 0), 1.0), ("b", at(1, 0), 1.0), (None, at(1, 0), 1.0), ("b", None, 1.0)]
+    second = [("a", at(2, 0), 2.0), ("a", at(2, 5), 2.0), (None, at(1, 0), 2.0), ("b", None, 2.0), ("c", at(9, 0), 2.0)]
+    for i, rows in enumerate((first, second)):
+        upsert.merge_batch(spark.createDataFrame(rows, kind), i, target, ["k"], "ts")
+    got = {(r["k"], r["ts"]): r["v"] for r in spark.read.parquet(target).collect()}
+    assert got == {(k, t): v for k, t, v in first + second}
+
+    old = spark.read.parquet(target)
+    plans = []
+    for n in (2, 300):
+        listed = upsert.stage(spark.range(n).selectExpr("concat('k', id) k", "date'2024-01-01' + cast(id as int) day"))
+        plans.append(upsert.partitions_listed(old, listed, ["k", "day"])._jdf.queryExecution().executedPlan().toString())
+    assert "dynamicpruning" in plans[0].lower()
+    assert plans[0].count("\n") == plans[1].count("\n")
