@@ -16,6 +16,7 @@ from flowrisk.operators.grid import regular_grid
 from flowrisk.operators.halo import HaloSpec
 from flowrisk.operators.windows import Feat, compute_features, halo_of
 from flowrisk.plans.sqlgen import feature_sql
+from flowrisk.session import spread, stage
 from flowrisk.sources.tables import table
 
 KEY = "l_suppkey"
@@ -42,8 +43,9 @@ ROUNDED = {"qty_mean_90d", "qty_std_90d"}
 def panel(spark: SparkSession, sf_dir: str, bucket_rows: int = 1 << 16,
           fit: bool = True) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    obs = li.groupBy(KEY, F.col("l_shipdate").alias("day")).agg(
-        F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("lines"))
+    li = spread(li.select(KEY, F.col("l_shipdate").alias("day"), "l_quantity"), li.count(), KEY, "day")
+    obs = stage(li.groupBy(KEY, "day").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("lines")),
+                "daily")                  # read three times: bounds, grid, carried summaries
     lb, la = halo_of(FEATS)
     halo = HaloSpec(bucket_rows, lb, la)
     halo = halo.fitted() if fit else halo
