@@ -223,17 +223,17 @@ def _ordered_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .alias("charge")).dropna()
     df = df.withColumn("_order", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
     block = F.struct("l_shipdate", F.floor(F.col("l_orderkey") / (1 << 16)).alias("range"))
-    return cv.ordinal(df, [], "_order", block).drop("_order").withColumn("n_train", F.col("n_rows"))
+    df = cv.ordinal(df, [], "_order", block, outer=F.col("l_shipdate"), rows=li.count())
+    return df.drop("_order").withColumn("n_train", F.col("n_rows"))
 
 
 def permutation(spark: SparkSession, sf_dir: str, max_iter: int = 20) -> DataFrame:
     """M3 + M4: regressor on the last forward fold (k = 3) of lineitem ordered by ship
     date; permutation importance on all of its validation rows."""
     from flowrisk.operators import models as ml
-    roles = cv.fold_roles(stage(_ordered_lineitem(spark, sf_dir), "lineitem-order"), 3).where(F.col("fold") == 3)
-    train = roles.where(F.col("role") == "train")
-    val = roles.where(F.col("role") == "val")
-    model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter)
+    ordered = stage(_ordered_lineitem(spark, sf_dir), "lineitem-order")
+    train, val = (cv.fold_part(ordered, 3, 3, role) for role in ("train", "val"))
+    model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter, order="row_idx")
     imp = ml.permutation_importance(model, val, LINEITEM_FEATURES, "charge", ["l_orderkey", "l_linenumber"], seed=42)
     return imp.select("feature", rnd("importance", 6).alias("importance"))
 
