@@ -19,3 +19,9 @@ def test_one_class_horizon_is_scored(spark):
     assert mr.registry.finished(spark, root).count() == 2
     folds = mr.registry.stored_folds(spark, root)
     assert folds.count() == 10 and folds.where("usable").count() == 0
+
+
+def test_registry_without_any_run(spark):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    assert mr.registry.finished(spark, root).count() == 0
+    assert mr.registry.stored_folds(spark, root).count() == mr.registry.stored_thresholds(spark, root).count() == 0

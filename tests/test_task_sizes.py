@@ -31,7 +31,7 @@ def test_ordinal_with_outer_buckets(spark):
     inner = F.struct(F.floor(F.col("a") / 100).alias("x"), F.floor(F.col("a") / 10).alias("y"))
     d = d.withColumn("o", F.struct("a", "b"))
     for keys in ([], ["k"]):
-        got = cv.ordinal(d, keys, "o", inner, outer=F.floor(F.col("a") / 100), rows=500)
+        got = cv.ordinal(d, keys, "o", inner, outer=F.floor(F.col("a") / 100))
         assert set(got.columns) == {*d.columns, "row_idx", "n_rows"}
         w = Window.partitionBy(*keys)
         bad = got.withColumn("at", F.row_number().over(w.orderBy("o")) - 1).withColumn("n", F.count("*").over(w))
