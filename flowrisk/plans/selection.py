@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrisk import session
 from flowrisk.functions.columns import rnd
 from flowrisk.operators import conformal as cf
 from flowrisk.operators import cv
@@ -19,7 +20,7 @@ from flowrisk.operators.metrics import exceed, persistence_prob
 from flowrisk.operators.windows import Feat
 from flowrisk.plans import evaluation as evq
 from flowrisk.plans import event_panel as ep
-from flowrisk.session import stage
+from flowrisk.session import stage, tasks_needed
 from flowrisk.sources.tables import table
 
 TEST_FRAC = 0.2
@@ -209,31 +210,51 @@ FROM best"""
 SELECTED_SQL = SELECTED_SQL.replace("WITH li AS", "WITH RECURSIVE li AS", 1)
 
 
+def _with_features(df: DataFrame) -> DataFrame:
+    """The features and the label that follow from a line's columns, unless they are there."""
+    if "revenue" in df.columns:
+        return df
+    return df.select("*",
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+                     F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
+                     (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+                     .alias("charge"))
+
+
 def _ordered_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete lineitem feature rows with their global position by ship date (ties by the
-    line's key); the ordering is dealt by day and order-key range, never in one task."""
+    line's key); the ordering is dealt by day and order-key range, never in one task.
+
+    Rows that the cores cannot take at once are moved and sorted without the features that follow
+    from the others (``_with_features`` adds them again), by day; only a day with more rows than
+    a task should have is dealt by order-key range as well."""
     li = table(spark, sf_dir, "lineitem")
     df = li.select("l_orderkey", "l_linenumber", "l_shipdate", *[F.col(c) for c in
                    ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    df = df.select("*",
-                   (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
-                   F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
-                   (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
-                   (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
-                   .alias("charge")).dropna()
-    df = df.withColumn("_order", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
-    block = F.struct("l_shipdate", F.floor(F.col("l_orderkey") / (1 << 16)).alias("range"))
-    df = cv.ordinal(df, [], "_order", block, outer=F.col("l_shipdate"), rows=li.count())
-    return df.drop("_order").withColumn("n_train", F.col("n_rows"))
+    own, rows = df.columns, li.count()
+    df = _with_features(df).dropna()
+    if tasks_needed(spark, rows) is None:
+        df = df.withColumn("_order", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
+        block = F.struct("l_shipdate", F.floor(F.col("l_orderkey") / (1 << 16)).alias("range"))
+        df = cv.ordinal(df, [], "_order", block).drop("_order")
+    else:
+        df, day = df.select(*own), F.to_date("l_shipdate")
+        crowded = df.groupBy(day.alias("day")).count().where(F.col("count") > session.ROWS_PER_TASK)
+        crowded = [r["day"] for r in crowded.collect()]            # at most as many as there are tasks
+        part = F.when(day.isin(crowded), F.struct("l_shipdate", F.floor(F.col("l_orderkey") / (1 << 16)).alias("range")))
+        block = F.struct(day.alias("day"), part.alias("part")) if crowded else day
+        df = cv.ordinal(df, [], ["l_shipdate", "l_orderkey", "l_linenumber"], block, outer=day, rows=rows)
+    return df.withColumn("n_train", F.col("n_rows"))
 
 
 def permutation(spark: SparkSession, sf_dir: str, max_iter: int = 20) -> DataFrame:
     """M3 + M4: regressor on the last forward fold (k = 3) of lineitem ordered by ship
     date; permutation importance on all of its validation rows."""
     from flowrisk.operators import models as ml
-    ordered = stage(_ordered_lineitem(spark, sf_dir), "lineitem-order")
+    ordered = _with_features(stage(_ordered_lineitem(spark, sf_dir), "lineitem-order"))
     train, val = (cv.fold_part(ordered, 3, 3, role) for role in ("train", "val"))
-    model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter, order="row_idx")
+    model = ml.fit_regressor(train, LINEITEM_FEATURES, "charge", seed=42, max_iter=max_iter, order="row_idx", binned=True)
     imp = ml.permutation_importance(model, val, LINEITEM_FEATURES, "charge", ["l_orderkey", "l_linenumber"], seed=42)
     return imp.select("feature", rnd("importance", 6).alias("importance"))
 
